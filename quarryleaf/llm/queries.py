@@ -13,4 +13,23 @@ def op4_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe}
+def op7_secrets(spark, sf_dir):
+    from quarryleaf.llm import secrets
+
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark, sf_dir):
+    from quarryleaf.llm import warc
+
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
+def op9_simhash(spark, sf_dir):
+    from quarryleaf.llm import simhash
+
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op4_byte_bpe, op7_secrets, op8_warc, op9_simhash)
+QUERIES = {f.__name__: f for f in _ALL}

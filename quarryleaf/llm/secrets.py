@@ -44,8 +44,10 @@ def _spans(text: Column, kind: str) -> Column:
     pattern, group, least, sign = PATTERNS[kind]
     if kind == "hex":  # a run that is too short cannot hold a longer one
         pattern = r"[0-9a-f]{32,}"
-    whole = f"(?s)(.*?)({pattern})"
-    # (.*?) takes what lies before a match, so that lengths add up to places.
+    # (.*?) takes what lies before a match, so that lengths add up to places;
+    # \G holds each search to where the last match ended, so that a tail
+    # without a match is scanned once.
+    whole = rf"(?s)\G(.*?)({pattern})"
     gap, match, counted = (F.regexp_extract_all(text, F.lit(whole), F.lit(g)) for g in (1, 2, group))
     ok = lambda m, c: F.length(c) >= least
     if kind == "secret":  # of upper case, lower case and digits
