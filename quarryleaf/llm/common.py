@@ -65,8 +65,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS) < n:
         m = max(1 << 16, 1 << (n - 1).bit_length())
         with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(np.concatenate([[1], np.full(m - 1, _BASE)]).astype(np.uint64), dtype=np.uint64)
-            _INVERSES = np.cumprod(np.concatenate([[1], np.full(m - 1, _INVERSE)]).astype(np.uint64), dtype=np.uint64)
+            factors = np.ones((2, m), np.uint64)
+            factors[0, 1:], factors[1, 1:] = np.uint64(_BASE), np.uint64(_INVERSE)
+            _POWERS, _INVERSES = np.cumprod(factors, axis=1, dtype=np.uint64)
     return _POWERS, _INVERSES
 
 
