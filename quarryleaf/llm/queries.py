@@ -4,6 +4,21 @@ from __future__ import annotations
 
 from quarryleaf.llm.common import table
 
+#: Of the registered query only; a deployment passes its own secret key.
+PII_KEY = b"quarryleaf example key, not secret"
+
+
+def op2_toxicity(spark, sf_dir):
+    from quarryleaf.llm import toxicity
+
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_pii(spark, sf_dir):
+    from quarryleaf.llm import pii
+
+    return pii.digest(table(spark, sf_dir, "documents"), PII_KEY)
+
 
 def op4_byte_bpe(spark, sf_dir):
     import public_tokenizers
@@ -31,5 +46,11 @@ def op9_simhash(spark, sf_dir):
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op4_byte_bpe, op7_secrets, op8_warc, op9_simhash)
+def op10_line_dedup(spark, sf_dir):
+    from quarryleaf.llm import linededup
+
+    return linededup.digest(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op2_toxicity, op3_pii, op4_byte_bpe, op7_secrets, op8_warc, op9_simhash, op10_line_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
