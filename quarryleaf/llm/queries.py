@@ -8,6 +8,12 @@ from quarryleaf.llm.common import table
 PII_KEY = b"quarryleaf example key, not secret"
 
 
+def op1_decontamination(spark, sf_dir):
+    from quarryleaf.llm import decontaminate
+
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity(spark, sf_dir):
     from quarryleaf.llm import toxicity
 
@@ -52,5 +58,5 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.digest(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op2_toxicity, op3_pii, op4_byte_bpe, op7_secrets, op8_warc, op9_simhash, op10_line_dedup)
+_ALL = (op1_decontamination, op2_toxicity, op3_pii, op4_byte_bpe, op7_secrets, op8_warc, op9_simhash, op10_line_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
