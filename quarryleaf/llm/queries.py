@@ -34,6 +34,14 @@ def op4_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_language_id(spark, sf_dir):
+    import public_tokenizers
+
+    from quarryleaf.llm import langid
+
+    return langid.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_secrets(spark, sf_dir):
     from quarryleaf.llm import secrets
 
@@ -58,5 +66,5 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.digest(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_decontamination, op2_toxicity, op3_pii, op4_byte_bpe, op7_secrets, op8_warc, op9_simhash, op10_line_dedup)
+_ALL = (op1_decontamination, op2_toxicity, op3_pii, op4_byte_bpe, op5_language_id, op7_secrets, op8_warc, op9_simhash, op10_line_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
