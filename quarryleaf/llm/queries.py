@@ -42,6 +42,12 @@ def op5_language_id(spark, sf_dir):
     return langid.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_order_minhash(spark, sf_dir):
+    from quarryleaf.llm import orderhash
+
+    return orderhash.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark, sf_dir):
     from quarryleaf.llm import secrets
 
@@ -66,5 +72,5 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.digest(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_decontamination, op2_toxicity, op3_pii, op4_byte_bpe, op5_language_id, op7_secrets, op8_warc, op9_simhash, op10_line_dedup)
+_ALL = (op1_decontamination, op2_toxicity, op3_pii, op4_byte_bpe, op5_language_id, op6_order_minhash, op7_secrets, op8_warc, op9_simhash, op10_line_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
