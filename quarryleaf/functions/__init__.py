@@ -1 +1 @@
-
+"""Column functions over text, URLs, vectors and samples."""
