@@ -44,15 +44,15 @@ IDENTITY = [
 
 
 def _ids(words: Words) -> np.ndarray:
-    """30-bit term numbers."""
-    return (words.hash >> np.uint64(34)).astype(np.int64)
+    """29-bit term numbers."""
+    return (words.hash >> np.uint64(35)).astype(np.int64)
 
 
 def _counts(words: Words):
     """(doc, term, count) of the distinct terms of each text, by both."""
-    key = (words.doc.astype(np.int64) << 30) | _ids(words)
+    key = (words.doc.astype(np.int64) << 29) | _ids(words)
     key, n = np.unique(key, return_counts=True)
-    return key >> 30, key & ((1 << 30) - 1), n
+    return key >> 29, key & ((1 << 29) - 1), n
 
 
 def _term(word: str) -> int:
@@ -79,9 +79,12 @@ def swapped_sentences(text: str) -> list[tuple[str, str]]:
 def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, toxic, terms, pairs) of labelled rows that are not held out.
     terms: term * 4 + its count (3 at most); pairs: for each sentence that
-    names a group, its terms so written, -1, and those of the swapped one."""
+    names a group, its terms so written, -1, and those of the swapped one.
+
+    The terms are made before the join, since they are a third of the text's
+    size; the join is the same at every size of the labels."""
     marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"), 3, 1)).join(marks, "doc_id")
+    texts = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"), 3, 1))
 
     def features(column):
         for first, last, data, bounds in text_slices(column):
@@ -100,10 +103,11 @@ def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 found = swapped_sentences(text.as_py()) if np.isin(t >> 2, named).any() else []
                 flat = list(features(pa.array([s for pair in found for s in pair], pa.string()))) if found else []
                 pairs.append([[*x.tolist(), -1, *y.tolist()] for x, y in zip(flat[::2], flat[1::2])])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(terms, pa.list_(pa.int64())), pa.array(pairs, pa.list_(pa.list_(pa.int64())))], ["doc_id", "toxic", "terms", "pairs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.list_(pa.int32())))], ["doc_id", "terms", "pairs"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return texts.mapInArrow(run, f"doc_id {kind}, toxic int, terms array<long>, pairs array<array<long>>")
+    terms = texts.mapInArrow(run, f"doc_id {kind}, terms array<int>, pairs array<array<int>>")
+    return terms.join(marks.hint("merge"), "doc_id")
 
 
 def term_statistics(features: DataFrame) -> DataFrame:
@@ -118,7 +122,7 @@ def term_statistics(features: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.bincount(where, w, len(key)).astype(np.int64)) for w in (toxic, 1 - toxic))], ["term", "toxic_docs", "clean_docs"])
 
         for b in batches:
-            flat, sizes = b.column(1).flatten().to_numpy() >> 2, np.diff(b.column(1).offsets.to_numpy())
+            flat, sizes = b.column(1).flatten().to_numpy().astype(np.int64) >> 2, np.diff(b.column(1).offsets.to_numpy())
             terms.append(flat)
             marks.append(np.repeat((b.column(0).to_numpy() > 0).astype(np.int64), sizes))
             if sum(map(len, terms)) > 4_000_000:
@@ -203,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     kind = dict(features.dtypes)["doc_id"]
     order = F.xxhash64(F.lit("fit"), "doc_id")
-    with_terms = features.select("doc_id", "terms", "toxic").mapInArrow(restricted, f"doc_id {kind}, toxic int, terms array<long>").where(F.size("terms") > 0)
+    with_terms = features.select("doc_id", "terms", "toxic").mapInArrow(restricted, f"doc_id {kind}, toxic int, terms array<int>").where(F.size("terms") > 0)
     with_terms = cut(with_terms)
     n_with = {r["toxic"]: r["n"] for r in with_terms.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     rows = with_terms.orderBy(order).limit(FIT_ROWS).select("toxic", "terms").collect()
