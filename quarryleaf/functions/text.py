@@ -83,7 +83,7 @@ def rerank_document(title: Column, heading: Column, body: Column) -> Column:
     return (
         F.when(has(title) & has(heading), F.concat(F.lit("Title: "), title, F.lit("\nSection: "), heading, F.lit("\n\n"), body))
         .when(has(title), F.concat(F.lit("Title: "), title, F.lit("\n\n"), body))
-        .when(has(heading), F.concat(F.lit("Section: "), heading, F.lit("\n\n"), body))
+        .when(has(heading), F.concat(heading, F.lit("\n\n"), body))
         .otherwise(body)
     )
 

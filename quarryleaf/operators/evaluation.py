@@ -109,9 +109,11 @@ def status_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(w)).withColumn("failure_rate", F.sum(F.when(F.col("status") != "ok", F.col("n")).otherwise(0)).over(w) / F.sum("n").over(w))
 
 
-def selector_rating(chars: Column, page_chars: Column, anchors_found: Column, anchors: Column) -> Column:
-    """How good a page's selector is, from what it covers."""
-    return F.when(chars.isNull() | (chars == 0) | (anchors_found == 0), "fail").when(chars > 0.8 * page_chars, "too_wide").when((anchors_found == anchors) & (chars <= 0.5 * page_chars), "ideal").otherwise("acceptable")
+def selector_rating(selector: Column, tag: Column, depth: Column) -> Column:
+    """How good a page's selector is: by the element that it names and how deep
+    that lies; without a selector it failed."""
+    named = tag.isin("ARTICLE", "MAIN") | ((depth >= 4) & ~tag.isin("BODY", "HTML", "DIV"))
+    return F.when(selector.isNull(), "fail").when(named, "ideal").when(depth >= 3, "acceptable").otherwise("too_wide")
 
 
 def category_success(rows: DataFrame, category: str) -> DataFrame:
