@@ -125,16 +125,17 @@ def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "
             )
 
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), key.alias("h"), F.col(text_col).alias("t"))
-    lines = cut(texts.mapInArrow(run, f"d {kind}, h long, lines array<long>, words array<int>, seeds array<long>"))
+    # Cut once they are distinct: the joins below then read plain exchanges,
+    # which adaptive execution can split where one document has many partners.
+    lines = cut(texts.mapInArrow(run, f"d {kind}, h long, lines array<long>, words array<int>, seeds array<long>").dropDuplicates(["d", "h"]))
     seeded = lines.select(F.explode("seeds").alias("seed"), "d", "h")
     first = seeded.groupBy("seed").agg(F.min(F.struct("d", "h")).alias("first"), F.max(F.struct("d", "h")).alias("last")).where("first <> last")
     # A seed may have a third of all documents: they are dealt over salts.
     first = first.select("seed", "first", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
     salted = seeded.withColumn("salt", F.pmod("h", F.lit(_SALTS)).cast("int"))
     pairs = salted.join(first, ["seed", "salt"]).select("d", "h", F.col("first.d").alias("d0"), F.col("first.h").alias("h0")).where("d <> d0 or h <> h0").distinct()
-    once = lines.dropDuplicates(["d", "h"])
-    earlier = once.select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("lines").alias("lines0"))
-    both = pairs.join(once.select("d", "h", "lines", "words"), ["d", "h"]).join(earlier, ["d0", "h0"]).select("d", "h", "d0", "lines", "words", "lines0")
+    earlier = lines.select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("lines").alias("lines0"))
+    both = pairs.join(lines.select("d", "h", "lines", "words"), ["d", "h"]).join(earlier, ["d0", "h0"]).select("d", "h", "d0", "lines", "words", "lines0")
 
     def align(batches):
         for b in batches:
@@ -144,7 +145,7 @@ def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "
     aligned = both.mapInArrow(align, f"d {kind}, h long, d0 {kind}, gone array<int>").where(F.size("gone") > 0)
     gone = aligned.groupBy(F.col("d").alias("_ql_d"), F.col("h").alias("_ql_h")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("_ql_deleted"), F.array_sort(F.collect_set("d0")).alias("_ql_from"))
     without = F.arrow_udf(_without, "string")
-    out = docs.withColumn("_ql_key", key).join(gone, (F.col(id_col) == F.col("_ql_d")) & (F.col("_ql_key") == F.col("_ql_h")), "left").drop("_ql_d", "_ql_h", "_ql_key")
+    out = docs.withColumn("_ql_key", key).join(gone.hint("merge"), (F.col(id_col) == F.col("_ql_d")) & (F.col("_ql_key") == F.col("_ql_h")), "left").drop("_ql_d", "_ql_h", "_ql_key")
     return out.withColumn(text_col, F.coalesce(without(F.when(F.col("_ql_deleted").isNotNull(), F.col(text_col)), F.coalesce("_ql_deleted", F.array().cast("array<int>"))), F.col(text_col)))
 
 
