@@ -18,8 +18,10 @@ from quarryleaf.settings import DEFAULTS
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
+    """path may be a folder or one file; a file stream takes a file only as a
+    pattern."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).parquet(path.rstrip("/") + "*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
