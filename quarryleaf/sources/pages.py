@@ -43,7 +43,7 @@ def charset(content_type: Column) -> Column:
 
 def pdf_text(page_texts: Column) -> Column:
     """Pages of a document joined by blank lines, blank pages left out."""
-    return F.array_join(F.filter(F.transform(page_texts, F.trim), lambda p: p != ""), "\n\n")
+    return F.array_join(F.filter(F.transform(page_texts, lambda t: F.trim(t)), lambda p: p != ""), "\n\n")
 
 
 def stack_markdown(answers: DataFrame, key: str) -> DataFrame:
