@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryleaf.llm.common import shuffle_partitions
+from quarryleaf.llm.common import cut, shuffle_partitions
 
 K = 3
 BUCKETS = 64  # a power of two
@@ -101,40 +101,42 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def in_ranges(docs: DataFrame, rows_each: int = 2000, most: int = 4096) -> DataFrame:
-    """docs with _range, ascending as doc_id descends (nulls last), and dealt
-    by it: about ``rows_each`` rows to a range, at most ``most`` ranges.
+    """docs with _range, ascending as doc_id descends (nulls last): about
+    ``rows_each`` rows to a range, at most ``most`` ranges.
 
     The bounds are quantiles of doc_id, at most ``most`` numbers on the driver.
     """
-    stats = docs.agg(F.count("*").alias("n")).first()
-    n = max(1, min(most, -(-stats["n"] // rows_each)))
+    n = max(1, min(most, -(-docs.count() // rows_each)))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * most).alias("q")).first()["q"] if n > 1 else []
     bounds = sorted(set(bounds or []), reverse=True)
-    if not bounds:
-        place = F.lit(0)
-    else:  # binary search for how many bounds are above doc_id
+    place = F.lit(0)
+    if bounds:  # binary search for how many bounds are above doc_id
         q = F.array(*map(F.lit, bounds)) if len(bounds) < 64 else F.expr(f"from_json('{bounds}', 'array<bigint>')")
         steps = F.array(*(F.lit(1 << s) for s in reversed(range(len(bounds).bit_length()))))
         place = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(q, at + s - 1) > F.col("doc_id")), at + s).otherwise(at))
         place = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(place)
-    return docs.withColumn("_range", place.cast("int")).repartition(shuffle_partitions(docs.sparkSession), "_range")
+    return docs.withColumn("_range", place.cast("int"))
 
 
 def with_next(rows: DataFrame, column: str) -> DataFrame:
-    """rows with _next, the column of the next row by descending doc_id (ties by
-    _tie; after the last comes the first). rows must be dealt by _range.
+    """rows, dealt by _range, with _next: the column of the next row by
+    descending doc_id (ties by _tie; after the last comes the first).
 
     Within a range it is a window; for the last row of each range it is the
-    first row of the next range in use, of which there is a bounded number.
+    first row of the next range in use. Those rows, one for each range, are
+    named first by their ids and then read from the source, so that the column
+    is shuffled once.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.col("_tie")]
-    within = Window.partitionBy("_range").orderBy(*order)
-    marked = rows.withColumn("_next", F.lead(F.struct(F.col(column).alias("v"))).over(within)).withColumn("_at", F.row_number().over(within))
-    heads = rows.withColumn("_at", F.row_number().over(within)).where("_at = 1").select("_range", F.struct(F.col(column).alias("v")).alias("head"))
-    ranges = heads.select("_range").agg(F.array_sort(F.collect_list("_range")).alias("all"))
-    turned = ranges.select(F.explode(F.zip_with("all", F.concat(F.slice("all", 2, 1 << 30), F.slice("all", 1, 1)), lambda a, b: F.struct(a.alias("_range"), b.alias("following")))).alias("x")).select("x.*")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.bitwise_not("doc_id").alias("d"), F.col("_tie").alias("t"))
+    firsts = rows.groupBy("_range").agg(F.min(place).alias("_first"))
+    heads = rows.join(F.broadcast(firsts), "_range").where(place.eqNullSafe(F.col("_first"))).groupBy("_range").agg(F.first(F.struct(F.col(column).alias("v"))).alias("head"))
+    turned = firsts.agg(F.array_sort(F.collect_list("_range")).alias("all"))
+    turned = turned.select(F.explode(F.zip_with("all", F.concat(F.slice("all", 2, 1 << 30), F.slice("all", 1, 1)), lambda a, b: F.struct(a.alias("_range"), b.alias("following")))).alias("x")).select("x.*")
     following = turned.join(heads.withColumnRenamed("_range", "following"), "following").select("_range", "head")
-    return marked.join(following, "_range", "left").withColumn("_next", F.coalesce(F.col("_next")["v"], F.col("head")["v"])).drop("head", "_at")
+    within = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("_tie"))
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "_range")
+    marked = dealt.withColumn("_next", F.lead(F.struct(F.col(column).alias("v"))).over(within))
+    return marked.join(following, "_range", "left").withColumn("_next", F.coalesce(F.col("_next")["v"], F.col("head")["v"])).drop("head")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -152,12 +154,5 @@ def digest(docs: DataFrame) -> DataFrame:
     rows = in_ranges(rows).withColumn("_tie", F.xxhash64("text"))
     pairs = with_next(rows, "text").withColumn("_edited", edited(F.col("text"), F.col("_next")))
     done = pairs.select("_range", "_tie", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("own"), signatures(F.col("_edited")).alias("of_edited"))
-    done = with_next(cut_signatures(done), "own")
+    done = with_next(cut(done), "own")  # used twice and made once
     return done.select("doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("of_edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("of_edited")).alias("near_edited"), likeness(F.col("own"), F.col("_next")).alias("near_next"))
-
-
-def cut_signatures(done: DataFrame) -> DataFrame:
-    """The signatures are used twice and made once: they go to the shared folder."""
-    from quarryleaf.llm.common import cut
-
-    return cut(done).repartition(shuffle_partitions(done.sparkSession), "_range")
