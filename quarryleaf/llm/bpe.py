@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 class Codec:
     """Encoder and decoder over a table of ranks (bytes to id).
 
-    ``memo`` bounds how many pre-tokens' encodings are kept; beyond it the
-    memo starts anew, which changes no result.
+    ``memo`` bounds how many pre-tokens' encodings are kept, in two halves: when
+    the newer is full it becomes the older, and what is used again returns. The
+    bound changes no result.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 700_000):
         self.ranks = ranks
         self.vocabulary = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
@@ -121,7 +122,8 @@ class Codec:
     def digest(self, text: str) -> tuple[int, str, str]:
         """Count of ids, SHA-256 of the ids and of the decoded bytes."""
         memo = self._memo
-        if len(memo) > memo.bound:
+        if len(memo) > memo.half:
+            memo.older = dict(memo)
             memo.clear()
         found = [memo[p] for p in self.splitter(text)]
         ids = ",".join([x[0] for x in found])
@@ -133,11 +135,13 @@ class _Memo(dict):
     """Pre-token to (ids as text, their count, their bytes decoded)."""
 
     def __init__(self, codec: Codec, bound: int):
-        self.codec, self.bound = codec, bound
+        self.codec, self.half, self.older = codec, bound // 2, {}
 
     def __missing__(self, piece: str):
-        ids = self.codec.merge(piece.encode())
-        value = ",".join(map(str, ids)), len(ids), self.codec.decode(ids)
+        value = self.older.get(piece)
+        if value is None:
+            ids = self.codec.merge(piece.encode())
+            value = ",".join(map(str, ids)), len(ids), self.codec.decode(ids)
         if len(piece) <= 64:
             self[piece] = value
         return value
