@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 NOISE_TAGS = ["script", "style", "noscript", "header", "footer", "nav", "aside", "form", "iframe", "svg", "menu", "dialog", "template"]
 #: Elements and roles within which repeated siblings are no records.
 NOISE_REGION_TAGS = ["nav", "aside", "footer", "header", "pre", "code"]
-NOISE_ROLES = ["navigation", "banner", "contentinfo", "complementary", "menu", "menubar", "tablist"]
-NOISE_CLASS = r"(?i)(?:^|[\s_-])(?:nav|menu|sidebar|footer|header|breadcrumbs?|pagination|cookie|banner|toolbar|related|share|social|ads?|promo)(?:$|[\s_-])"
-TAB_CLASS = r"(?i)tab(?:item|list|panel|content|s)?(?:$|[\s_-])"
+NOISE_ROLES = ["navigation", "complementary", "banner", "contentinfo", "tablist", "tab", "tabpanel"]
+#: Class and id patterns of noise regions, and classes of tabs.
+NOISE_CLASS = r"(?i)\b(nav|sidebar|toc|table-of-contents|breadcrumb|menu|site-header|site-footer)\b"
+TAB_CLASS = r"(?i)\btab(?:Item|panel|-item|-panel|-pane|_|content-pane)\b"
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
 _ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&")]
@@ -142,7 +143,7 @@ def record_groups(nodes: DataFrame, key: str, least_median: int = 20, most_group
     marks = nodes.where(noisy).groupBy(key).agg(F.collect_set("node").alias("_noise"))
     runs = sibling_runs(nodes, key).join(marks, key, "left")
     line = F.array_append(F.slice(F.reverse("path"), 1, 20), F.col("node"))
-    tablike = F.col("role").isin("tab", "tabpanel") | F.col("hidden")
+    tablike = F.col("role").isin("tab", "tabpanel") | F.col("hidden") | F.rlike(F.array_join("classes", " "), F.lit(TAB_CLASS))
     groups = runs.groupBy(key, "parent", "run", "signature").agg(
         F.count("*").cast("int").alias("count"),
         F.percentile(F.length("text"), F.lit(0.5)).alias("median"),
