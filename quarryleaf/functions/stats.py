@@ -26,5 +26,7 @@ def percentile_or_zero(c: Column, q: float) -> Column:
 
 
 def ceiling_ms(p95: Column, n: Column, default: int, least: int = 5, low: int = 1500, high: int = 15_000) -> Column:
-    """Adaptive time limit: half again the p95, held between low and high."""
-    return F.when(n < least, default).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), (p95 * 1.5).cast("long")))).cast("long")
+    """Adaptive time limit: half again the p95, truncated, held between low and
+    high. Six digits are kept before truncation, so that the last bits of an
+    interpolated percentile do not matter."""
+    return F.when(n < least, default).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), F.round(p95 * 1.5, 6).cast("long")))).cast("long")
