@@ -72,15 +72,16 @@ def reciprocal_rank_fusion(rankings: DataFrame, k: int = DEFAULTS.rrf_k) -> Data
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, idx, score, rank): the k nearest vectors by cosine.
 
-    vectors: idx, embedding; queries: query_id, query (a stated set that is
-    broadcast; the caller answers for its size). Norms are made once for each
-    side.
+    vectors: idx, embedding; queries: query_id, query, a stated set that each
+    vector is compared with. It is broadcast if its size is under the session's
+    threshold, else the vectors are read once for each part of it. Norms are
+    made once for each side.
     """
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     v = vectors.select("idx", "embedding", norm("embedding").alias("vn"))
     q = queries.select("query_id", "query", norm("query").alias("qn"))
     dots = F.aggregate(F.zip_with("embedding", "query", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = v.join(F.broadcast(q)).select("query_id", "idx", F.when((F.col("vn") == 0) | (F.col("qn") == 0), 0.0).otherwise(dots / (F.col("vn") * F.col("qn"))).alias("score"))
+    scored = v.crossJoin(q).select("query_id", "idx", F.when((F.col("vn") == 0) | (F.col("qn") == 0), 0.0).otherwise(dots / (F.col("vn") * F.col("qn"))).alias("score"))
     return ranked(scored, ["query_id"], F.col("score")).where(F.col("rank") < k)
 
 

@@ -120,7 +120,7 @@ def page_anchors(spark, sf_dir):
 FROM documents d, (SELECT list(left(text, 20) ORDER BY item_id) AS snips FROM benchmark) s""")
 def snippet_hits(spark, sf_dir):
     snips = _t(spark, sf_dir, "benchmark").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", F.left("text", F.lit(20)).alias("s")))), lambda x: x["s"]).alias("snips"))
-    return _t(spark, sf_dir, "documents").crossJoin(F.broadcast(snips)).select("doc_id", text.snippet_hits(F.col("text"), F.col("snips")).alias("hits"))
+    return _t(spark, sf_dir, "documents").crossJoin(snips).select("doc_id", text.snippet_hits(F.col("text"), F.col("snips")).alias("hits"))
 
 
 # ---------------------------------------------------------------- pages and URLs
@@ -249,7 +249,7 @@ def _corpus(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
     corpus = docs.select(F.col("lang").alias("group"), F.col("doc_id").alias("idx"), "text")
     asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(text.bm25_tokens(F.col("text")), 1, 8)).alias("term"))
-    return corpus, docs.select(F.col("lang").alias("group")).distinct().join(F.broadcast(asked))
+    return corpus, docs.select(F.col("lang").alias("group")).distinct().crossJoin(asked)
 
 
 @query(_BM25 + "SELECT g AS lang, query_id, idx AS doc_id, rank, round(score, 6) AS score FROM rk WHERE rank < 10")
