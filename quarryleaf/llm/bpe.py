@@ -23,19 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 class Codec:
-    """Encoder and decoder over a table of ranks (bytes to id).
+    """Encoder and decoder over a table of ranks (bytes to id)."""
 
-    ``memo`` bounds how many pre-tokens' encodings are kept, in two halves: when
-    the newer is full it becomes the older, and what is used again returns. The
-    bound changes no result.
-    """
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 700_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.vocabulary = {v: k for k, v in ranks.items()}
+        self.written = {str(v): k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
         self.splitter = Splitter(pattern)
-        self._memo = _Memo(self, memo)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the lowest rank's leftmost pair goes first.
@@ -119,29 +114,32 @@ class Codec:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Count of ids, SHA-256 of the ids and of the decoded bytes."""
-        memo = self._memo
-        if len(memo) > memo.half:
-            memo.older = dict(memo)
-            memo.clear()
-        found = [memo[p] for p in self.splitter(text)]
-        ids = ",".join([x[0] for x in found])
-        decoded = b"".join([x[2] for x in found])
-        return sum([x[1] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+    def digest(self, text: str, memo: Memo) -> tuple[int, str, str]:
+        """Count of ids, SHA-256 of the ids and of the bytes that they decode to."""
+        memo.turn()
+        ids = ",".join([memo[p] for p in self.splitter(text)])
+        each = ids.split(",") if ids else []
+        decoded = b"".join(map(self.written.__getitem__, each))
+        return len(each), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
-class _Memo(dict):
-    """Pre-token to (ids as text, their count, their bytes decoded)."""
+class Memo(dict):
+    """Pre-token to its ids as text, of at most about ``bound`` pre-tokens, in
+    two halves: when the newer is full it becomes the older, and what is used
+    again returns. It belongs to one task and changes no result."""
 
-    def __init__(self, codec: Codec, bound: int):
+    def __init__(self, codec: Codec, bound: int = 500_000):
         self.codec, self.half, self.older = codec, bound // 2, {}
 
-    def __missing__(self, piece: str):
+    def turn(self) -> None:
+        if len(self) > self.half:
+            self.older = dict(self)
+            self.clear()
+
+    def __missing__(self, piece: str) -> str:
         value = self.older.get(piece)
         if value is None:
-            ids = self.codec.merge(piece.encode())
-            value = ",".join(map(str, ids)), len(ids), self.codec.decode(ids)
+            value = ",".join(map(str, self.codec.merge(piece.encode())))
         if len(piece) <= 64:
             self[piece] = value
         return value
@@ -242,8 +240,9 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     def run(batches):
         c = codec(path, pattern)
+        memo = Memo(c)
         for b in batches:
-            rows = [c.digest(t.as_py() or "") for t in b.column(1)]
+            rows = [c.digest(t.as_py() or "", memo) for t in b.column(1)]
             n, ids, decoded = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
