@@ -25,13 +25,13 @@ KINDS = ["assign", "access", "hex", "ident", "secret", "endpoint"]
 ROLES = ["secret", "id", "secret", "id", "secret", "endpoint"]
 SCOPE = 256
 
-#: kind: (pattern, group whose length counts, least length, a cheap sign of it)
+#: kind: (pattern, group whose length counts, least length, a cheap sign that no match is without)
 PATTERNS = {
     "assign": (r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 3, 8, r"(?i:password|passwd|secret|token|api_?key)"),
     "access": (r"AKIA[A-Z0-9]+", 2, 16, r"AKIA"),
     "hex": (r"[0-9a-f]+", 2, 32, r"[0-9a-f]{32}"),
     "ident": (r"""(?:(?i:username|user|login|client_?id|account|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 3, 3, r"(?i:username|user|login|client_?id|account|access_?key_?id)"),
-    "secret": (r"[A-Za-z0-9+/_-]{20,}", 2, 20, r"[A-Za-z+/_-]*[0-9][A-Za-z0-9+/_-]{10}"),
+    "secret": (r"[A-Za-z0-9+/_-]{20,}", 2, 20, r"[A-Za-z0-9+/_-]{20}"),
     "endpoint": (r"""[A-Za-z][A-Za-z0-9+.-]*://[^\x20\x09-\x0D"'<>]+""", 2, 8, r"://"),
 }
 

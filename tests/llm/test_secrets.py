@@ -33,5 +33,12 @@ def test_linking(spark):
     assert got == {0: [], 1: ["ident", "secret"], 2: ["endpoint", "secret"], 3: [], 4: [], 5: ["access", "secret"], 6: ["endpoint", "assign"]}
 
 
+def test_digits_at_the_end(spark):
+    # the only digits of the text are the last of its secret
+    texts = ["user: deploybot ZxQwErTyUiOpLkJhGfDs73 at https://db.example.com/x", "https://h.example/a AbCdEfGhIjKlMnOpQrS7", "user=bob AbCdEfGhIjKlMnOpQr7"]
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {0: "ident:0:15,secret:16:38,endpoint:42:66", 1: "endpoint:0:19,secret:20:40", 2: ""}
+
+
 def test_frames(odd, empty):
     assert secrets.digest(odd).count() == odd.count() and secrets.digest(empty).count() == 0
