@@ -1,12 +1,16 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a rare line are found through line hashes: a seed is a
-line of ``SEED_WORDS`` words or more, or two lines that follow one another
-(which are rare where each alone is not). For each seed every later document is
-paired with the first that has it, so a seed that a third of all documents have
-gives as many pairs, never their square, and loses no later document. Each pair
-is aligned by patience diff over the line hashes, and every aligned common
-block of at least ``block_words`` words is deleted from the later document.
+Documents that share a block are found through the hashes of windows: the
+shortest run of lines that has ``block_words`` words, from each line on and up
+to each line. Every line of a common block of enough words lies in a window
+that the block holds, and equal blocks have equal windows. For each window
+every later document is paired with the first that has it, so a block that a
+third of all documents have gives as many pairs, never their square, and loses
+no later document. Each pair is aligned by patience diff over the line hashes,
+and every aligned common block of at least ``block_words`` words is deleted
+from the later document; so are windows that the earlier document has and the
+alignment left, where blocks are repeated or cross. Thus a line with words
+stays only if no earlier document has a block of enough words around it.
 Alignments use the texts as they came; the first document with a block keeps
 it, since only an earlier one could take it.
 
@@ -17,6 +21,7 @@ returned unchanged. Lines end at \\n and compare with white space collapsed.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections import Counter
 
@@ -27,7 +32,6 @@ from pyspark.sql import functions as F
 
 from quarryleaf.llm.common import cut
 
-SEED_WORDS = 8
 BLOCK_WORDS = 20
 _SALTS = 16
 
@@ -43,14 +47,31 @@ def line_hashes(text: str) -> tuple[list[int], list[int]]:
     return hashes, words
 
 
-def seeds(hashes: list[int], words: list[int]) -> list[int]:
-    out = {h for h, n in zip(hashes, words) if n >= SEED_WORDS}
-    lines = [(h, n) for h, n in zip(hashes, words) if n]
-    for (a, m), (b, n) in zip(lines, lines[1:]):
-        if m + n >= 4:
-            h = (a * 0x9E3779B97F4A7C15 + b * 3 + 1) & (1 << 64) - 1
-            out.add(h - (h >> 63 << 64))
-    return list(out)
+def windows(words: list[int], block_words: int) -> set[tuple[int, int]]:
+    """(first, last) line of the shortest runs of at least ``block_words`` words
+    from each line with words on, and up to each. No run has a negative count."""
+    out, i, total, back = set(), 0, 0, None
+    for j, n in enumerate(words):
+        if n < 0:
+            i, total, back = j + 1, 0, None
+            continue
+        total += n
+        while i <= j and (not words[i] or total >= block_words):
+            if words[i]:
+                out.add((i, j))
+                back = i
+            total -= words[i]
+            i += 1
+        if n and back is not None:
+            out.add((back, j))
+    return out
+
+
+def seeds(hashes: list[int], words: list[int], block_words: int = BLOCK_WORDS) -> list[int]:
+    """Signed hashes of the windows."""
+    lines = array("q", hashes).tobytes()
+    out = {xxhash.xxh64_intdigest(lines[8 * i : 8 * j + 8], 1) for i, j in windows(words, block_words)}
+    return [h - (h >> 63 << 64) for h in out]
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -89,15 +110,24 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(later: list[int], words: list[int], earlier: list[int], block_words: int) -> list[int]:
-    """Places of later's lines in aligned blocks of enough words."""
-    out, block = [], []
+    """Places of later's lines in aligned blocks of enough words, and in windows
+    that earlier has anywhere."""
+    out, block = set(), []
     for i, k in [*patience(later, earlier), (-1, -1)]:
         if block and (i, k) != (block[-1][0] + 1, block[-1][1] + 1):
             if sum(words[x] for x, _ in block) >= block_words:
-                out += [x for x, _ in block]
+                out.update(x for x, _ in block)
             block = []
         block.append((i, k))
-    return out
+    common = set(earlier)
+    left = [(i, j) for i, j in windows(words, block_words) if common.issuperset(later[i : j + 1]) and not out.issuperset(range(i, j + 1))]
+    if left:
+        count = dict(zip(later, words))
+        has = {tuple(earlier[i : j + 1]) for i, j in windows([count.get(x, -1) for x in earlier], block_words)}
+        for i, j in left:
+            if tuple(later[i : j + 1]) in has:
+                out.update(range(i, j + 1))
+    return sorted(out)
 
 
 def _without(text: pa.Array, lines: pa.Array) -> pa.Array:
@@ -121,7 +151,7 @@ def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "
         for b in batches:
             found = [line_hashes(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([h for h, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.int32())), pa.array([seeds(*x) for x in found], pa.list_(pa.int64()))], ["d", "h", "lines", "words", "seeds"]
+                [b.column(0), b.column(1), pa.array([h for h, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.int32())), pa.array([seeds(*x, block_words) for x in found], pa.list_(pa.int64()))], ["d", "h", "lines", "words", "seeds"]
             )
 
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), key.alias("h"), F.col(text_col).alias("t"))

@@ -43,6 +43,42 @@ def test_many_holders(spark):
     assert [i for i in got if shared in got[i]] == [0]
 
 
+@given(st.lists(st.lists(st.integers(0, 4), max_size=12), min_size=2, max_size=2))
+def test_no_common_block_is_left(docs):
+    later, earlier = docs
+    words = [0 if x == 0 else x for x in later]
+    expected = set()
+    for i in range(len(later)):
+        for j in range(i, len(later)):
+            run = later[i : j + 1]
+            if sum(run) >= 5 and any(earlier[k : k + len(run)] == run for k in range(len(earlier))):
+                expected |= {x for x in range(i, j + 1) if words[x]}
+    got = linededup.common_blocks(later, words, earlier, 5)
+    assert {x for x in got if words[x]} == expected
+    shared = set(linededup.seeds(later, words, 5)) & set(linededup.seeds(earlier, earlier, 5))
+    assert bool(shared) == bool(expected)
+
+
+def test_repeats_crossings_and_other_holders(spark):
+    p, q, own = passage(3), passage(4), [passage(i, 2) for i in range(30, 50)]
+    lines = [" ".join(f"l{k}w{i}" for i in range(12)) for k in range(3)]
+    texts = {
+        1: [own[0], p, own[1], p, own[2]],  # the first holder has it twice
+        2: [own[3], p, own[4]],
+        3: [own[5], p, own[6], p, own[7]],
+        4: [own[8], q, own[9], p],
+        5: [p, own[10], q],  # crossing
+        6: [own[11], lines[0], lines[1], own[12]],
+        7: [own[13], lines[1], lines[2], own[14]],
+        8: [own[15], *lines, own[16]],  # its parts are of two documents
+    }
+    got = {r["doc_id"]: r["text"] for r in linededup.digest(spark.createDataFrame([(k, "\n".join(t)) for k, t in texts.items()], "doc_id bigint, text string")).collect()}
+    whole = lambda *parts: "\n".join(parts)
+    assert got[1] == whole(*texts[1]) and got[2] == whole(own[3], own[4]) and got[3] == whole(own[5], own[6], own[7])
+    assert got[4] == whole(own[8], q, own[9]) and got[5] == own[10]
+    assert got[6] == whole(*texts[6]) and got[7] == whole(*texts[7]) and got[8] == whole(own[15], own[16])
+
+
 def test_frames(odd, empty):
     rows = linededup.digest(odd).collect()
     texts = {}
