@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from quarryleaf.llm import bpe, decontaminate, linededup, simhash, toxicity
 from quarryleaf.llm.common import shared_dir, table
 
-#: Of near duplicates: five-word shingles, and 256-bit fingerprints within so
-#: many bits. At a similarity of 0.8 they differ in 39 bits, give or take 6.
-NEAR_WORDS, NEAR_LANES, NEAR_BITS = 5, 4, 48
+#: Of near duplicates: five-word shingles whose sets have this Jaccard
+#: similarity; candidates have 256-bit fingerprints within so many bits. At a
+#: similarity of 0.8 they differ in 39 bits, give or take 6.
+NEAR_WORDS, NEAR_LANES, NEAR_BITS, NEAR = 5, 4, 56, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays;
     rows without an id stay."""
-    found = simhash.near_duplicates(docs, NEAR_BITS, NEAR_WORDS, NEAR_LANES)
+    found = simhash.near_duplicates(docs, NEAR_BITS, NEAR_WORDS, NEAR_LANES, similarity=NEAR)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_ql_id")).distinct()
     out = docs.join(kept, F.col("doc_id") == F.col("_ql_id")).drop("_ql_id")
     # Repeated rows are their own copies: one of each id stays.

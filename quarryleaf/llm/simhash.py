@@ -19,6 +19,11 @@ cost its square, so tiles are cut within blocks that lose no pair:
 
 Equal fingerprints are one member, so copies are never paired. Within a block
 only a spanning forest of the links is kept.
+
+With a ``similarity``, fingerprints are of the set of shingles, a member is a
+set, and the radius only selects candidates: a link counts if the Jaccard
+similarity of the two sets themselves is so high. Sets travel to the blocks of
+members that have a candidate, of no others.
 """
 
 from __future__ import annotations
@@ -61,8 +66,35 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, sketch): fp has ``lanes`` longs of 64 bits, the first of the
+def set_hash(shingles: np.ndarray) -> int:
+    """Signed 64-bit hash of ascending shingle hashes."""
+    h = xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+    return h - (h >> 63 << 64)
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(set, shingles): the distinct shingle hashes of each distinct set."""
+
+    def run(batches):
+        for b in batches:
+            for t in b.column(0):
+                h = np.unique(shingle_hashes(t.as_py(), words))
+                yield pa.RecordBatch.from_arrays([pa.array([set_hash(h)], pa.int64()), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], ["set", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "set long, shingles array<long>").dropDuplicates(["set"])
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Jaccard similarity of two sets, as ascending arrays, is so high."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+    """(doc_id, fp, sketch, and with ``sets`` set, a hash of the set of
+    shingles, each of which then counts once): fp has ``lanes`` longs of 64 bits, the first of the
     hashes themselves and others of the hashes remixed; sketch has the minimal
     hashes under eight permutations (empty without words). A null text counts
     as empty."""
@@ -70,20 +102,23 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str =
     def run(batches):
         seeds = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64))
         for b in batches:
-            fps, sketches = [], []
+            fps, sketches, hashes = [], [], []
             for t in b.column(1):
                 h = shingle_hashes(t.as_py(), words)
+                if sets:
+                    h = np.unique(h)
+                    hashes.append(set_hash(h))
                 fps.append([fingerprint(h if not k else mix64(h + np.uint64(k))) for k in range(lanes)])
                 sketches.append([int(mix64(h ^ s).min()) for s in seeds] if lanes > 1 and len(h) else [])
             flat = np.array(fps, np.uint64).reshape(-1).view(np.int64)
             offsets = np.arange(0, len(flat) + 1, lanes, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array([np.array(s, np.uint64).view(np.int64) for s in sketches], pa.list_(pa.int64()))],
-                ["doc_id", "fp", "sketch"],
+                [b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array([np.array(s, np.uint64).view(np.int64) for s in sketches], pa.list_(pa.int64())), *([pa.array(hashes, pa.int64())] if sets else [])],
+                ["doc_id", "fp", "sketch", *(["set"] if sets else [])],
             )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp array<long>, sketch array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp array<long>, sketch array<long>" + (", set long" if sets else ""))
 
 
 def _piece_keys(fp, pieces: int, agree: int):
@@ -94,10 +129,11 @@ def _piece_keys(fp, pieces: int, agree: int):
     return F.array(*(F.xxhash64(F.lit(k + 100 * pieces), *(bits[i] for i in chosen)) for k, chosen in enumerate(combinations(range(pieces), agree))))
 
 
-def links_in_block(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def links_in_block(fps: np.ndarray, radius: int, same=None) -> list[tuple[int, int]]:
     """A spanning forest of the links within a block, as pairs of places.
 
-    fps: distinct fingerprints as rows of 64-bit words.
+    fps: distinct fingerprints as rows of 64-bit words; same: whether the
+    members at two places are linked, if the radius does not say.
     """
     n = len(fps)
     if n < 2:
@@ -121,6 +157,11 @@ def links_in_block(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
             x, y = x + i, y + j
             while len(x := x[keep := root[x] != root[y]]):
                 y = y[keep]
+                if same:  # on to the first pair that is linked
+                    at = next((k for k, (p, q) in enumerate(zip(order[x].tolist(), order[y].tolist())) if same(p, q)), None)
+                    if at is None:
+                        break
+                    x, y = x[at:], y[at:]
                 p, q = int(root[x[0]]), int(root[y[0]])
                 out.append((int(order[x[0]]), int(order[y[0]])))
                 mp, mq = members.pop(p, [p]), members.pop(q, [q])
@@ -131,11 +172,13 @@ def links_in_block(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def near_links(fps: DataFrame, radius: int, lanes: int = 1, hot: int = 20_000) -> DataFrame:
+def near_links(fps: DataFrame, radius: int, lanes: int = 1, hot: int = 20_000, similarity: float | None = None) -> DataFrame:
     """(a, b): nodes of a spanning forest of all links within each block.
 
-    fps: node, fp (distinct; arrays of ``lanes`` longs) and sketch.
+    fps: node, fp (distinct; arrays of ``lanes`` longs) and sketch; with a
+    similarity, of sketches only, also shingles.
     """
+    held = ["node", "fp"] + (["shingles"] if similarity is not None else [])
     if lanes == 1:
         one = F.col("fp")[0]
         keyed = fps.select("node", "fp", F.explode(_piece_keys(one, radius + 2, 2)).alias("key"))
@@ -143,11 +186,11 @@ def near_links(fps: DataFrame, radius: int, lanes: int = 1, hot: int = 20_000) -
         finer = keyed.join(crowded, "key", "left_semi").select("node", "fp").distinct().select("node", "fp", F.explode(_piece_keys(F.col("fp")[0], radius + 4, 4)).alias("key"))
         keyed = keyed.join(crowded, "key", "left_anti").select("node", "fp", "key").union(finer)
     else:
-        keyed = fps.select("node", "fp", "sketch", F.posexplode("sketch").alias("k", "m")).withColumn("key", F.xxhash64("k", "m"))
+        keyed = fps.select(*held, "sketch", F.posexplode("sketch").alias("k", "m")).withColumn("key", F.xxhash64("k", "m"))
         crowded = keyed.groupBy("key").count().where(F.col("count") > hot).select("key")
-        finer = keyed.join(crowded, "key", "left_semi").select("node", "fp", "key", "k", F.posexplode("sketch").alias("j", "m")).where("j <> k")
-        keyed = keyed.join(crowded, "key", "left_anti").select("node", "fp", "key").union(finer.select("node", "fp", F.xxhash64("key", "j", "m").alias("key")))
-    blocks = keyed.repartition(shuffle_partitions(fps.sparkSession), "key").sortWithinPartitions("key", "node").select("key", "node", "fp")
+        finer = keyed.join(crowded, "key", "left_semi").select(*held, "key", "k", F.posexplode("sketch").alias("j", "m")).where("j <> k")
+        keyed = keyed.join(crowded, "key", "left_anti").select(*held, "key").union(finer.select(*held, F.xxhash64("key", "j", "m").alias("key")))
+    blocks = keyed.repartition(shuffle_partitions(fps.sparkSession), "key").sortWithinPartitions("key", "node").select("key", *held)
 
     def run(batches):
         rest = None
@@ -169,8 +212,10 @@ def near_links(fps: DataFrame, radius: int, lanes: int = 1, hot: int = 20_000) -
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(starts[1:], len(key))
         a, c = [], []
+        sets = part.column("shingles").combine_chunks() if similarity is not None else None
         for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-            for x, y in links_in_block(fp[s:e], radius):
+            same = sets and (lambda x, y, s=s: alike(sets[int(s) + x].values.to_numpy().view(np.uint64), sets[int(s) + y].values.to_numpy().view(np.uint64), similarity))
+            for x, y in links_in_block(fp[s:e], radius, same):
                 a.append(node[s + x])
                 c.append(node[s + y])
         if a:
@@ -179,24 +224,34 @@ def near_links(fps: DataFrame, radius: int, lanes: int = 1, hot: int = 20_000) -
     return blocks.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id), a row for each row of docs.
 
-    Fingerprints within ``radius`` bits are linked, and a component is all that
+    Fingerprints within ``radius`` bits are linked, with a similarity only if
+    the shingle sets have it (needs lanes > 1), and a component is all that
     links reach; its id is the smallest doc_id in it. Documents without words
     have the fingerprint zero, linked like any other. Repeated rows share their
     component. A null doc_id keeps its row and counts for no component's id;
     if all ids of a component are null, so is the component's.
     """
-    fps = cut(fingerprints(docs, words, lanes, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("sketch").alias("sketch")))
-    linked = components(near_links(distinct.where("node is not null"), radius, lanes))
-    roots = distinct.select("fp", "node").join(linked, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    exact = similarity is not None
+    member = ["fp", "set"] if exact else ["fp"]
+    fps = cut(fingerprints(docs, words, lanes, id_col, text_col, exact).withColumn("doc_id", F.col("doc_id").cast("long")))
+    distinct = cut(fps.groupBy(*member).agg(F.min("doc_id").alias("node"), F.min("sketch").alias("sketch")))
+    links = near_links(distinct.where("node is not null"), radius, lanes)
+    if exact:
+        links = cut(links)  # some link of every member that has any
+        some = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(some, "node", "left_semi")
+        chosen = distinct.join(some, "node", "left_semi").join(shingle_sets(texts, words), "set")
+        links = near_links(chosen, radius, lanes, similarity=similarity)
+    linked = components(links)
+    roots = distinct.select(*member, "node").join(linked, "node", "left").select(*member, F.coalesce("root", "node").alias("component_id"))
     # A fingerprint may have a third of all rows: its rows are dealt over salts.
     n = 8
-    salted = fps.select("doc_id", "fp", F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("salt"))
-    spread = roots.select("fp", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("salt"))
-    return salted.join(spread, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    salted = fps.select("doc_id", *member, F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("salt"))
+    spread = roots.select(*member, "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("salt"))
+    return salted.join(spread, [*member, "salt"]).select("doc_id", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:

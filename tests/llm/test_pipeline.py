@@ -31,3 +31,20 @@ def test_one_of_each_group_stays(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
     assert sorted((r["doc_id"] or 0) for r in got) == [0, 2, 5]
+
+
+def test_near_duplicates_by_their_shingles(spark):
+    # (shared, own) words of pairs; the shingle sets' similarity is checked
+    pairs, rows, near = [(180, 20), (150, 20), (170, 40), (160, 40), (160, 50)] * 6, [], set()
+    for k, (shared, own) in enumerate(pairs):
+        common = [f"s{k}w{i}" for i in range(shared)]
+        texts = [" ".join([*common, *(f"{side}{k}w{i}" for i in range(own))]) for side in "ab"]
+        a, b = (set(zip(*(t.split()[i:] for i in range(5)))) for t in texts)
+        if len(a & b) / len(a | b) >= 0.8:
+            near.add(2 * k + 1)
+        rows += [(2 * k, texts[0]), (2 * k + 1, texts[1])]
+    # one run a thousand times is most of the fingerprint, but not of the set
+    rows += [(100 + k, "x " * 1000 + " ".join(f"y{k}w{i}" for i in range(100))) for k in range(2)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert 0 < len(near) < len(pairs)
+    assert {i for i, _ in rows} - {r["doc_id"] for r in got} == near
