@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
+import functools
 import tempfile
 
 import numpy as np
@@ -18,14 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests, a laptop) a local temporary
-    folder is made and set as the checkpoint folder.
+    Only where the session names none and all tasks run in this one process's
+    machine (tests, a laptop) a local temporary folder is made and set as the
+    checkpoint folder; on a cluster the lack of one is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarryleaf-"))
     return sc.getCheckpointDir()
 
@@ -45,8 +49,34 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def held_out(doc_id, modulus: int, remainder: int):
-    """crc32 of the id as text leaves this remainder."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % modulus == F.lit(remainder)
+    """crc32 of the id as text leaves this remainder; false without an id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == F.lit(remainder), F.lit(False))
+
+
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return lambda _: 0
+
+
+def give_back(run):
+    """A batch function that, once its task is over, drops the tables of
+    ``_powers`` and returns freed memory to the system: workers are reused, and
+    would carry one stage's buffers into the next."""
+
+    @functools.wraps(run)
+    def wrapped(*args):
+        try:
+            yield from run(*args)
+        finally:
+            global _POWERS, _INVERSES
+            _POWERS = _INVERSES = np.empty(0, np.uint64)
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return wrapped
 
 
 # ---------------------------------------------------------------------------
@@ -141,7 +171,7 @@ def words_of(data: np.ndarray, bounds: np.ndarray, letters_only: bool = False) -
     return Words(doc, mix64(h ^ _SEED), s, e, low, len(bounds) - 1)
 
 
-SLICE = 1 << 20  # bytes of text that are cut into words at once
+SLICE = 1 << 18  # bytes of text that are cut into words at once
 
 
 def text_slices(column, at_most: int = SLICE):
