@@ -6,12 +6,18 @@ letters and digits of a mailbox), and that number is permuted by a keyed
 Feistel network with cycle walking. The permutation is f^-1(f(x) + shift), which
 maps no value to itself. The result is written in the same format with its
 check digits made anew, so it is as valid as the value was, and equal values
-get equal pseudonyms in every document however they are spaced.
+get equal pseudonyms in every document however they are spaced; a mailbox is
+permuted without regard to case, and its letters' case is kept. A date keeps its
+order of fields and whether they are padded.
 
 Values are validated: cards by Luhn, IBANs by mod 97, social security numbers
-by their ranges, IPv4 octets, dates by the calendar (1900 to 2099). What fails
-is left as it is. Null text stays null and has no spans; repeated rows give
-repeated rows.
+by their ranges, IPv4 octets, dates by the calendar (1900 to 2099). Cards and
+IBANs are tried at each length from the longest that is spelled out there, so
+that what follows a value does not hide it; after a failure the scan goes on one
+character further. What fails is left as it is.
+
+Null text stays null and has no spans, an empty table gives no rows; repeated
+rows give repeated rows. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryleaf.llm.common import give_back
+
 ROUNDS = 8
 
 
@@ -101,18 +109,29 @@ def _respaced(like: str, plain: str) -> str:
     return "".join(next(rest) if c.isalnum() else c for c in like)
 
 
+def _lengths(m: str, least: int, most: int):
+    """(length, its letters and digits) of m and of its beginnings that end
+    before a separator, longest first."""
+    for end in [len(m), *(i for i in range(len(m) - 1, 0, -1) if m[i] in " -" and m[i - 1].isalnum())]:
+        plain = re.sub("[ -]", "", m[:end])
+        if least <= len(plain) <= most:
+            yield end, plain
+
+
 def _card(key, m):
-    digits = re.sub(r"\D", "", m)
-    if not 13 <= len(digits) <= 19 or not luhn_valid(digits):
+    found = next((x for x in _lengths(m, 13, 19) if luhn_valid(x[1])), None)
+    if found is None:
         return None
+    m, digits = m[: found[0]], found[1]
     body = digits[0] + _permuted(key, f"card{digits[0]}", digits[1:-1], ["0123456789"] * (len(digits) - 2))
     return _respaced(m, body + luhn_digit(body))
 
 
 def _iban(key, m):
-    plain = m.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or _mod97(plain[4:] + plain[:4]) != 1:
+    found = next((x for x in _lengths(m, 15, 34) if _mod97(x[1][4:] + x[1][:4]) == 1), None)
+    if found is None:
         return None
+    m, plain = m[: found[0]], found[1]
     body = _permuted(key, f"iban{plain[:2]}", plain[4:], [_alphabet(c) for c in plain[4:]])
     return _respaced(m, f"{plain[:2]}{98 - _mod97(f'{body}{plain[:2]}00'):02d}{body}")
 
@@ -164,29 +183,33 @@ def _date(key, m):
         if iso:
             return f"{d.year:04d}{sep}{d.month:02d}{sep}{d.day:02d}"
         # A day that only month-first order allows is written in that order.
-        return f"{d.month:02d}{sep}{d.day:02d}{sep}{d.year:04d}" if i else f"{d.day:02d}{sep}{d.month:02d}{sep}{d.year:04d}"
+        fields = (d.month, d.day) if i else (d.day, d.month)
+        width = 1 if min(len(a), len(b)) == 1 else 2
+        return f"{fields[0]:0{width}d}{sep}{fields[1]:0{width}d}{sep}{d.year:04d}"
     return None
 
 
 def _email(key, m):
     local, _, domain = m.partition("@")
     label, dot, rest = domain.partition(".")
-    plain = local + label
+    plain = (local + label).lower()
     out = _permuted(key, "email" + "".join(str(_ALPHABETS.index(a)) if (a := _alphabet(c)) in _ALPHABETS else c for c in plain), plain, [_alphabet(c) for c in plain])
+    out = "".join(c.upper() if like.isupper() else c for c, like in zip(out, local + label))
     return f"{out[: len(local)]}@{out[len(local) :]}{dot}{rest}"
 
 
 #: kind: (pattern, what writes its pseudonym or gives None for an invalid one)
 KINDS = {
     "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _iban),
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![a-z0-9])", _iban),
     "ip": (r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])", _ip),
-    "date": (r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![\w/-]|\.[0-9])", _date),
+    "date": (r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?!(?!T[0-9]{2}:)[\w/-]|\.[0-9])", _date),
     "ssn": (r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", _ssn),
-    "card": (r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])", _card),
+    "card": (r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", _card),
     "phone": (r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?![0-9])", _phone),
 }
-_ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items()))
+_ANY = re.compile("|".join(p for p, _ in KINDS.values()))
+_EACH = [(k, re.compile(p).match, write) for k, (p, write) in KINDS.items()]
 _SIGN = re.compile("[0-9@]")
 
 
@@ -194,13 +217,19 @@ def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[tuple[s
     """The text with pseudonyms, and (kind, start, end) of what they replace."""
     if not text or not _SIGN.search(text):
         return text, []
-    out, spans, at = [], [], 0
-    for m in _ANY.finditer(text):
-        new = KINDS[m.lastgroup][1](key, m[0])
-        if new is not None:
-            out += [text[at : m.start()], new]
-            at = m.end()
-            spans.append((m.lastgroup, m.start(), at))
+    out, spans, at, start = [], [], 0, 0
+    while m := _ANY.search(text, start):
+        start = m.start()
+        tried = ((kind, x.end(), write(key, x[0])) for kind, match, write in _EACH if (x := match(text, start)))
+        kind, end, new = next((x for x in tried if x[2] is not None), (None, None, None))
+        if new is None:
+            start += 1
+            continue
+        if kind in ("card", "iban"):  # as long as they were, which may be less than was matched
+            end = start + len(new)
+        out += [text[at:start], new]
+        spans.append((kind, start, end))
+        at = start = end
     return "".join([*out, text[at:]]), spans
 
 
@@ -208,6 +237,7 @@ def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
     """(doc_id, text, spans): every whole text with pseudonyms."""
     kind = dict(docs.dtypes)[id_col]
 
+    @give_back
     def run(batches):
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:

@@ -37,6 +37,31 @@ def test_left_alone(text):
     assert pii.pseudonymise(text, KEY) == (text, [])
 
 
+CARD, IBAN = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+
+
+@pytest.mark.parametrize("before", ["", "AB12 ", "12 ", "x: ", "7-", "+", "IBAN ", "e@", "("])
+@pytest.mark.parametrize("after", ["", " 123", " 12/27", " BIC COBADEFF", " OK", ".", ", 42", ") 1", "\n2024", "T1"])
+def test_nothing_around_hides_a_value(before, after):
+    for value in (CARD, IBAN):
+        if value == IBAN and (after == "T1" or before[-1:].isalnum()):
+            continue  # joined to it, it is another word
+        if value == CARD and after[:1].isdigit():
+            continue
+        out, _ = replaced(before + value + after)
+        assert value not in out and len(out) == len(before + value + after), (before, after, out)
+
+
+def test_linked_values():
+    a, kinds = replaced("JOE@ex.org joe@ex.org Joe@EX.org")
+    assert kinds == ["email"] * 3 and len({x.lower() for x in a.split()}) == 1 and a.split()[0].split("@")[0].isupper()
+    a, kinds = replaced("1/2/1999 01/02/1999 1999-02-01 1999-02-01T10:00:00Z")
+    short, padded, iso, stamp = a.split()
+    assert kinds == ["date"] * 4 and stamp == iso + "T10:00:00Z"
+    d, m, y = padded.split("/")
+    assert short == f"{int(d)}/{int(m)}/{y}" and iso == f"{y}-{m}-{d}"
+
+
 def test_output_is_found_again():
     text = "4111111111111111 123-45-6789 1999-02-28 10.20.30.40 +1 (337) 555-7349 joe.9@ex.org"
     once, kinds = replaced(text)
