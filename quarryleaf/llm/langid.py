@@ -3,13 +3,21 @@
 The pieces of a fixed public vocabulary have a probability in each language. A
 word's probability is the sum over all its segmentations into pieces, by a
 forward algorithm over many words at once; a text's is the product over its
-words. Piece probabilities are learned by expectation maximisation (forward and
-backward) on word counts of labelled texts: about ``FIT_DOCS`` documents of each
-language, drawn by a hash, and their ``FIT_WORDS`` most frequent words.
+words. All pieces of the vocabulary count, and all segmentations. Piece
+probabilities are learned by expectation maximisation (forward and backward, in
+logarithms) on the counts of all words of labelled texts: the ``FIT_DOCS``
+distinct texts of each language whose hashes are least. Tasks add up what is
+expected of each piece; the driver holds one number a piece and language.
+
+The score is the posterior of the best language with the logarithms divided by
+the square root of the number of words, since a text's words do not bear
+witness independently.
 
 A character that is no piece has one probability in all languages. A null text,
 or one without a letter, is ``und`` with score 0. Languages are those of the
-labelled rows; with none, all texts are ``und``. Repeated rows get one result.
+labelled rows; with none, all texts are ``und``. An empty table gives no rows;
+repeated rows get one result. Other columns are kept whatever their names, but
+for _ql_lang.
 """
 
 from __future__ import annotations
@@ -19,15 +27,13 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryleaf.llm.common import cut, held_out, text_slices, words_of
+from quarryleaf.llm.common import cut, give_back, held_out, text_slices, words_of
 
 FIT_DOCS = 3000
-FIT_WORDS = 60_000
 ROUNDS = 4
-LONGEST = 12  # characters of a piece
 UNKNOWN = 1e-8
 _B = np.uint64(0x9E3779B97F4A7C15)
 _MARK = 0x2581  # what the vocabulary writes before a word
@@ -37,7 +43,8 @@ class Pieces:
     """A hash table of the vocabulary: of a substring's hash to its number."""
 
     def __init__(self, pieces: list[str]):
-        self.pieces = sorted({p for p in pieces if 0 < len(p) <= LONGEST and "<0x" not in p})
+        self.pieces = sorted({p for p in pieces if p and "<0x" not in p})
+        self.longest = max(map(len, self.pieces), default=1)
         keys = np.array([self.key(p) for p in self.pieces], np.uint64)
         self.bits = 20
         for shift in range(1, 44):  # a slot for each but a few, and those in a second table
@@ -78,7 +85,7 @@ class Pieces:
         n, width = chars.shape
         out, h = [], np.zeros((n, width), np.uint64)
         with np.errstate(over="ignore"):
-            for k in range(min(LONGEST, width)):
+            for k in range(min(self.longest, width)):
                 h = (h[:, : width - k] + chars[:, k:]) * _B
                 h ^= h >> np.uint64(29)
                 found = self.find(h.ravel()).reshape(h.shape)
@@ -131,7 +138,7 @@ class Model:
                 done[ended] = np.log(alpha[i, ended]) + scale[ended]
             if i % 16 == 0:
                 top = np.maximum(alpha[i], 1e-300)
-                alpha[max(0, i - LONGEST) : i + 1] /= top
+                alpha[max(0, i - self.pieces.longest) : i + 1] /= top
                 scale += np.log(top)
         return alpha, done
 
@@ -144,9 +151,10 @@ class Model:
 
     def texts(self, column) -> tuple[list[str], np.ndarray]:
         """Predicted language and its posterior, for each text."""
-        total = []
+        total, n_words = [], []
         for first, last, data, bounds in text_slices(column):
             words = words_of(data, bounds, letters_only=True)
+            n_words.append(np.bincount(words.doc, minlength=last - first))
             _, at, number = np.unique(words.hash, return_index=True, return_inverse=True)
             if not len(at):
                 total.append(np.zeros((last - first, len(self.langs))))
@@ -156,6 +164,8 @@ class Model:
             key, n = np.unique(words.doc.astype(np.int64) * len(at) + number, return_counts=True)
             total.append(np.stack([np.bincount(key // len(at), each[key % len(at), k] * n, last - first) for k in range(len(self.langs))], axis=1))
         total = np.concatenate(total) if total else np.zeros((0, len(self.langs)))
+        n_words = np.concatenate(n_words) if n_words else np.zeros(0)
+        total /= np.sqrt(np.maximum(n_words, 1))[:, None]
         posterior = np.exp(total - total.max(axis=1, keepdims=True))
         posterior /= posterior.sum(axis=1, keepdims=True)
         best = posterior.argmax(axis=1)
@@ -169,48 +179,41 @@ def has_letter(text: str | None) -> bool:
 _LATIN = re.compile("[A-Za-z]")
 
 
-def learn(pieces: Pieces, counts: dict[str, dict[str, float]]) -> Model:
-    """Expectation maximisation of each language's piece probabilities.
-    counts: language to word to how often it occurs."""
-    langs = sorted(counts)
-    v = len(pieces.pieces)
-    p = np.full((v + 1, len(langs)), 1.0 / v)
-    for _ in range(ROUNDS):
-        expected = np.zeros((v + 1, len(langs)))
-        for k, lang in enumerate(langs):
-            model = Model(pieces, [lang], p[:, k : k + 1])
-            words = list(counts[lang])
-            times = np.array([counts[lang][w] for w in words], float)
-            for part, chars, sizes in _chunks(words):
-                if chars.shape[1] > 64:
-                    continue  # words that long tell little of pieces, and would underflow
-                spans = pieces.spans(chars, sizes)
-                _expected(spans, sizes, p[:, k], times[part], expected[:, k])
-        pooled = expected.sum(axis=1, keepdims=True)
-        pooled = (pooled + 0.01) / (pooled.sum() + 0.01 * v)
-        p = (expected + 50 * pooled) / (expected.sum(axis=0, keepdims=True) + 50)
-    return Model(pieces, langs, p)
+def maximised(expected: np.ndarray) -> np.ndarray:
+    """Piece probabilities from expected counts (a column for each language),
+    smoothed by those of all languages together."""
+    v = len(expected) - 1
+    pooled = expected.sum(axis=1, keepdims=True)
+    pooled = (pooled + 0.01) / (pooled.sum() + 0.01 * v)
+    return (expected + 50 * pooled) / (expected.sum(axis=0, keepdims=True) + 50)
+
+
+def expected_counts(pieces: Pieces, words: list[str], times: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """What is expected of each piece in the words, by forward-backward."""
+    out = np.zeros(len(pieces.pieces) + 1)
+    for part, chars, sizes in _chunks(words):
+        _expected(pieces.spans(chars, sizes), sizes, p, times[part], out)
+    return out
 
 
 def _expected(spans, sizes, p, times, out) -> None:
-    """Add the pieces' expected counts in the words, by forward-backward."""
     n, width = spans[0].shape
-    prob = [np.where(s >= 0, p[s], UNKNOWN if k == 0 else 0.0) for k, s in enumerate(spans)]
-    alpha, beta = np.zeros((width + 1, n)), np.zeros((width + 1, n))
-    alpha[0] = 1
+    with np.errstate(divide="ignore"):
+        known = np.log(p)
+    prob = [np.where(s >= 0, known[s], np.log(UNKNOWN) if k == 0 else -np.inf) for k, s in enumerate(spans)]
+    alpha, beta = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
+    alpha[0] = 0
     for i in range(1, width + 1):
-        for k in range(min(i, len(spans))):
-            alpha[i] += alpha[i - k - 1] * prob[k][:, i - k - 1]
-    beta[sizes, np.arange(n)] = 1
-    for i in range(width - 1, -1, -1):
-        for k in range(min(width - i, len(spans))):
-            inside = i + k + 1 <= sizes
-            beta[i] += np.where(inside, beta[i + k + 1] * prob[k][:, i], 0)
-    weight = times / np.maximum(alpha[sizes, np.arange(n)], 1e-300)
+        alpha[i] = np.logaddexp.reduce([alpha[i - k - 1] + prob[k][:, i - k - 1] for k in range(min(i, len(spans)))], axis=0)
+    whole = alpha[sizes, np.arange(n)]
+    for i in range(width, -1, -1):
+        ways = [beta[i + k + 1] + prob[k][:, i] for k in range(min(width - i, len(spans)))]
+        beta[i] = np.where(sizes == i, 0.0, np.logaddexp.reduce(ways, axis=0) if ways else -np.inf)
     for k, s in enumerate(spans):
         for i in range(width - k):
-            has = s[:, i] >= 0
-            out += np.bincount(s[has, i], (alpha[i] * prob[k][:, i] * beta[i + k + 1] * weight)[has], len(out))
+            has = np.flatnonzero((s[:, i] >= 0) & (i + k + 1 <= sizes))
+            weight = times[has] * np.exp(alpha[i, has] + prob[k][has, i] + beta[i + k + 1, has] - whole[has])
+            out += np.bincount(s[has, i], weight, len(out))
 
 
 def fit(labelled: DataFrame, vocabulary: str) -> Model:
@@ -222,9 +225,13 @@ def fit(labelled: DataFrame, vocabulary: str) -> Model:
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model(pieces, [], np.zeros((len(pieces.pieces) + 1, 0)))
-    rate = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, FIT_DOCS / n)))
-    drawn = labelled.where((F.pmod(F.xxhash64(F.lit("langid"), "text"), F.lit(1 << 20)) / float(1 << 20)) < rate[F.col("lang")])
+    h = F.xxhash64(F.lit("langid"), "text")
+    rate = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2 * FIT_DOCS / n))))
+    # Few enough for one window a language: twice as many as are kept, and copies once.
+    drawn = labelled.withColumn("_h", h).where((F.pmod("_h", F.lit(1 << 20)) / float(1 << 20)) < rate[F.col("lang")]).dropDuplicates(["lang", "_h"])
+    drawn = drawn.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_n") <= FIT_DOCS)
 
+    @give_back
     def run(batches):
         for b in batches:
             for lang in set(b.column(0).to_pylist()):
@@ -238,11 +245,33 @@ def fit(labelled: DataFrame, vocabulary: str) -> Model:
 
     counted = drawn.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = cut(counted)
-    counts: dict = {}
-    for lang in sizes:  # bounded: FIT_WORDS rows each
-        best = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(FIT_WORDS).select("word", "n").collect()
-        counts[lang] = {r["word"]: r["n"] for r in best}
-    return learn(pieces, {k: v for k, v in counts.items() if v})
+    langs = sorted(sizes)
+    place = {lang: k for k, lang in enumerate(langs)}
+    context = labelled.sparkSession.sparkContext
+    p = np.full((len(pieces.pieces) + 1, len(langs)), 1.0 / len(pieces.pieces))
+    for _ in range(ROUNDS):
+        shared = context.broadcast((pieces, p))
+
+        @give_back
+        def step(batches, shared=shared):
+            vocabulary, now = shared.value
+            sums: dict = {}
+            for b in batches:
+                own, words, n = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy().astype(float)
+                for lang in set(own):
+                    at = np.flatnonzero([x == lang for x in own])
+                    sums[lang] = sums.get(lang, 0) + expected_counts(vocabulary, [words[i] for i in at], n[at], now[:, place[lang]])
+            for lang, x in sums.items():
+                some = np.flatnonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), place[lang], np.int32)), pa.array(some.astype(np.int32)), pa.array(x[some])], ["lang", "piece", "x"])
+
+        expected = np.zeros_like(p)
+        sums = counted.mapInArrow(step, "lang int, piece int, x double").groupBy("lang", "piece").agg(F.sum("x").alias("x"))
+        got = sums.toPandas()  # a number for each piece and language
+        expected[got["piece"], got["lang"]] = got["x"]
+        p = maximised(expected)
+        shared.unpersist()
+    return Model(pieces, langs, p)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
