@@ -1,7 +1,8 @@
 """Order MinHash fingerprints, in DataFrame functions.
 
-A text's tokens are runs of characters that are not ASCII white space. Each run
-of ``K`` tokens is a k-mer, numbered by its occurrence so that repeats are
+A text's tokens are runs of characters that are not ASCII white space; what a
+run has before its last ``LONGEST`` characters is cut into single ones, which
+serves scripts without spaces. Each run of ``K`` tokens is a k-mer, numbered by its occurrence so that repeats are
 distinct. The numbered k-mers' hashes fall into ``BUCKETS`` permutation buckets
 (one-permutation hashing); from each bucket the ``PER_BUCKET`` minimal are
 selected, put back into text order, and the tuple is hashed to 16 bits. Two texts
@@ -15,7 +16,8 @@ occurrence numbers come from doubling steps over the sorted array, as many as
 the logarithm of the longest run of equal k-mers.
 
 Texts of fewer than K tokens have one k-mer, all their tokens; texts without a
-token have none, and are like one another only (likeness 1).
+token have none, and are like one another only (likeness 1). An empty table
+gives no rows; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from quarryleaf.llm.common import cut, shuffle_partitions
 
 K = 3
+LONGEST = 16  # characters of a token
 BUCKETS = 64  # a power of two
 PER_BUCKET = 2
 _PLACE_BITS = 24  # places beyond wrap; only the order within a tuple is then less sure
@@ -36,7 +39,8 @@ _BUCKET_BITS = BUCKETS.bit_length() - 1
 def signatures(text: Column, k: int = K) -> Column:
     """array<int> of BUCKETS numbers: 1 to 65535, or 0 of an empty bucket."""
     let = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  evaluates value once
-    tokens = F.filter(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), lambda t: t != "")
+    gap = r"[^ \t\n\x0B\f\r]"
+    tokens = F.regexp_extract_all(text, F.lit(rf"{gap}{{1,{LONGEST}}}(?!{gap})|{gap}"), F.lit(0))
 
     def packed_kmers(t):
         n = F.size(t)
@@ -100,22 +104,28 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(used == 0, F.lit(1.0)).otherwise(equal.cast("double") / used)
 
 
-def in_ranges(docs: DataFrame, rows_each: int = 2000, most: int = 4096) -> DataFrame:
-    """docs with _range, ascending as doc_id descends (nulls last): about
-    ``rows_each`` rows to a range, at most ``most`` ranges.
+def in_ranges(docs: DataFrame, rows_each: int = 2000, most: int = 1 << 16) -> DataFrame:
+    """docs (doc_id, _tie) with _range, ascending as doc_id descends (nulls
+    last) and then as _tie ascends: about ``rows_each`` rows to a range.
 
     The bounds are quantiles of doc_id, at most ``most`` numbers on the driver.
+    Rows whose id is a bound, and those without one, have ranges of their own
+    and are dealt over ranges of _tie, since there may be any number of them.
     """
     n = max(1, min(most, -(-docs.count() // rows_each)))
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * most).alias("q")).first()["q"] if n > 1 else []
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("q")).first()["q"] if n > 1 else []
     bounds = sorted(set(bounds or []), reverse=True)
-    place = F.lit(0)
+    place, at_bound = F.lit(0), F.lit(False)
     if bounds:  # binary search for how many bounds are above doc_id
         q = F.array(*map(F.lit, bounds)) if len(bounds) < 64 else F.expr(f"from_json('{bounds}', 'array<bigint>')")
         steps = F.array(*(F.lit(1 << s) for s in reversed(range(len(bounds).bit_length()))))
         place = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(q, at + s - 1) > F.col("doc_id")), at + s).otherwise(at))
-        place = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(place)
-    return docs.withColumn("_range", place.cast("int"))
+        at_bound = F.coalesce(F.get(q, place) == F.col("doc_id"), F.lit(False))
+    null = F.col("doc_id").isNull()
+    # Of each bound: what is above it, then its own rows; nulls come after all.
+    place = F.when(null, F.lit(2 * len(bounds) + 2)).otherwise(2 * place + F.when(at_bound, 1).otherwise(0))
+    sub = F.when(null | at_bound, F.floor(F.col("_tie") / F.lit(float(1 << 58))) + 32).otherwise(F.lit(0))
+    return docs.withColumn("_range", (64 * place.cast("long") + sub).cast("long"))
 
 
 def with_next(rows: DataFrame, column: str) -> DataFrame:
@@ -151,7 +161,7 @@ def digest(docs: DataFrame) -> DataFrame:
     likeness. A null text counts as empty; rows of equal doc_id come by a hash
     of the text, a null doc_id last."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = in_ranges(rows).withColumn("_tie", F.xxhash64("text"))
+    rows = in_ranges(rows.withColumn("_tie", F.xxhash64("text")))
     pairs = with_next(rows, "text").withColumn("_edited", edited(F.col("text"), F.col("_next")))
     done = pairs.select("_range", "_tie", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("own"), signatures(F.col("_edited")).alias("of_edited"))
     done = with_next(cut(done), "own")  # used twice and made once

@@ -1,9 +1,11 @@
+import functools
 import hashlib
 import random
 import re
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quarryleaf.llm import orderhash
@@ -28,6 +30,57 @@ def test_edited_texts(spark, rows_each, monkeypatch):
     assert got == expected(rows)
 
 
+@pytest.mark.parametrize("rows_each", [2, 7])
+def test_many_equal_ids(spark, rows_each, monkeypatch):
+    """Equal and null ids are dealt over ranges; the order is by id, then by a
+    hash of the text, and each row's next is the one after it."""
+    ranges = orderhash.in_ranges
+    monkeypatch.setattr(orderhash, "in_ranges", lambda d: ranges(d, rows_each))
+    rows = [(7, f"seven {i}") for i in range(40)] + [(None, f"none {i}") for i in range(40)] + [(i, f"text {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ties = {r["text"]: r["t"] for r in df.select("text", F.xxhash64("text").alias("t")).collect()}
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), ties[r[1]]))
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + rows[(i + 1) % len(rows)][1][: len(t) // 2]).encode()).hexdigest() for i, (_, t) in enumerate(rows))
+    assert sorted(r["edited_sha256"] for r in orderhash.digest(df).collect()) == want
+
+
+def brute(text):
+    """Order MinHash of one text, step by step."""
+    signed = lambda x: x - (x >> 63 << 64)
+    xx = lambda *parts: functools.reduce(lambda seed, b: xxhash.xxh64_intdigest(b, seed), parts, 42)
+    tokens = re.findall(r"[^ \t\n\x0B\f\r]{1,16}(?![^ \t\n\x0B\f\r])|[^ \t\n\x0B\f\r]", text)
+    kmers = [xx(*(t.encode() for t in tokens[i : i + 3])) >> 24 for i in range(len(tokens) - 2)] if len(tokens) >= 3 else [xx(" ".join(tokens).encode()) >> 24] * bool(tokens)
+    seen, items = Counter(), []
+    for place, k in enumerate(kmers):
+        h = xx((k).to_bytes(8, "little"), seen[k].to_bytes(4, "little"))
+        seen[k] += 1
+        items.append((signed(h >> 24 << 24 | place), h >> 58, h >> 24, place))
+    out = [0] * 64
+    for bucket in range(64):
+        own = sorted(x for x in items if x[1] == bucket)[:2]
+        if own:
+            order = sorted(own, key=lambda x: x[3])
+            seed = 42
+            for x in order:
+                seed = xxhash.xxh64_intdigest(x[2].to_bytes(8, "little"), seed)
+            out[bucket] = signed(seed) % 65535 + 1
+    return out
+
+
+def test_signatures_by_brute_force(spark):
+    r = random.Random(4)
+    texts = ["", "a", "a b", "a b c", " ".join(f"w{r.randrange(30)}" for _ in range(400)), "日本語の文章には空白がありません。" * 6, "x" * 200, "one two three " * 50]
+    for text, got in zip(texts, signature(spark, *texts)):
+        assert got == brute(text), text[:40]
+
+
+def test_scripts_without_spaces(spark):
+    r = random.Random(5)
+    text = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(600))
+    other = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(600))
+    assert alike(spark, text, text[:300] + "x" + text[300:]) > 0.85 > alike(spark, text, text[:300] + other[300:]) > alike(spark, text, other) == 0.0
+
+
 def signature(spark, *texts):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     return [r[0] for r in df.select(orderhash.signatures(F.col("text"))).collect()]
