@@ -14,8 +14,8 @@ cost its square, so tiles are cut within blocks that lose no pair:
 * ``sketch`` (wider fingerprints, any radius): the block key is a minimal
   shingle hash under one of eight permutations. Two texts of similarity J
   share one with probability 1 - (1-J)**8, at J = 0.8 all but 3 in a million.
-  A block of over ``hot`` members is replaced by its intersections with the
-  other seven keys (a shared passage is then no longer enough).
+  A block of over ``hot`` members is dealt to groups, and each pair of groups
+  is a block of its own, so that every pair of members still meets.
 
 Equal fingerprints are one member, so copies are never paired. Within a block
 only a spanning forest of the links is kept.
@@ -24,6 +24,10 @@ With a ``similarity``, fingerprints are of the set of shingles, a member is a
 set, and the radius only selects candidates: a link counts if the Jaccard
 similarity of the two sets themselves is so high. Sets travel to the blocks of
 members that have a candidate, of no others.
+
+Null and empty texts have no shingles and the fingerprint zero, and are linked
+like any other; an empty table gives no rows. Repeated rows share a component.
+Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryleaf.llm.common import cut, mix64, shuffle_partitions
+from quarryleaf.llm.common import cut, give_back, mix64, shuffle_partitions
 from quarryleaf.llm.components import components
 
 SEED = 42
@@ -75,6 +79,7 @@ def set_hash(shingles: np.ndarray) -> int:
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(set, shingles): the distinct shingle hashes of each distinct set."""
 
+    @give_back
     def run(batches):
         for b in batches:
             for t in b.column(0):
@@ -99,6 +104,7 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str =
     hashes under eight permutations (empty without words). A null text counts
     as empty."""
 
+    @give_back
     def run(batches):
         seeds = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64))
         for b in batches:
@@ -186,12 +192,16 @@ def near_links(fps: DataFrame, radius: int, lanes: int = 1, hot: int = 20_000, s
         finer = keyed.join(crowded, "key", "left_semi").select("node", "fp").distinct().select("node", "fp", F.explode(_piece_keys(F.col("fp")[0], radius + 4, 4)).alias("key"))
         keyed = keyed.join(crowded, "key", "left_anti").select("node", "fp", "key").union(finer)
     else:
-        keyed = fps.select(*held, "sketch", F.posexplode("sketch").alias("k", "m")).withColumn("key", F.xxhash64("k", "m"))
+        keyed = fps.select(*held, F.posexplode("sketch").alias("k", "m")).withColumn("key", F.xxhash64("k", "m")).drop("k", "m")
         crowded = keyed.groupBy("key").count().where(F.col("count") > hot).select("key")
-        finer = keyed.join(crowded, "key", "left_semi").select(*held, "key", "k", F.posexplode("sketch").alias("j", "m")).where("j <> k")
-        keyed = keyed.join(crowded, "key", "left_anti").select(*held, "key").union(finer.select(*held, F.xxhash64("key", "j", "m").alias("key")))
+        # As many groups as make two of them about a block of the size allowed.
+        groups = keyed.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(2 * F.col("count") / hot).cast("int").alias("g"))
+        dealt = keyed.join(groups, "key").withColumn("p", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+        dealt = dealt.select(*held, "key", "p", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("q"))
+        keyed = keyed.join(crowded, "key", "left_anti").select(*held, "key").union(dealt.select(*held, F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("key")))
     blocks = keyed.repartition(shuffle_partitions(fps.sparkSession), "key").sortWithinPartitions("key", "node").select("key", *held)
 
+    @give_back
     def run(batches):
         rest = None
         for b in batches:
@@ -231,22 +241,30 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, lanes: int
     the shingle sets have it (needs lanes > 1), and a component is all that
     links reach; its id is the smallest doc_id in it. Documents without words
     have the fingerprint zero, linked like any other. Repeated rows share their
-    component. A null doc_id keeps its row and counts for no component's id;
-    if all ids of a component are null, so is the component's.
+    component. A row with a null doc_id is linked like any other and may join
+    two components; it counts for no component's id, and if all ids of a
+    component are null, so is the component's.
     """
     exact = similarity is not None
     member = ["fp", "set"] if exact else ["fp"]
     fps = cut(fingerprints(docs, words, lanes, id_col, text_col, exact).withColumn("doc_id", F.col("doc_id").cast("long")))
-    distinct = cut(fps.groupBy(*member).agg(F.min("doc_id").alias("node"), F.min("sketch").alias("sketch")))
-    links = near_links(distinct.where("node is not null"), radius, lanes)
+    # A node is what members are distinct by.
+    node = F.col("set") if exact else F.col("fp")[0] if lanes == 1 else F.xxhash64("fp")
+    distinct = cut(fps.groupBy(*member).agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch")).withColumn("node", node))
+    links = near_links(distinct, radius, lanes)
     if exact:
         links = cut(links)  # some link of every member that has any
         some = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(some, "node", "left_semi")
-        chosen = distinct.join(some, "node", "left_semi").join(shingle_sets(texts, words), "set")
-        links = near_links(chosen, radius, lanes, similarity=similarity)
+        chosen = distinct.join(some, "node", "left_semi")
+        ids = chosen.select("least").where("least is not null").distinct()
+        whole = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).alias("text"))
+        texts = whole.join(ids, "least", "left_semi").union(whole.where("least is null"))
+        chosen = chosen.join(shingle_sets(texts, words), "set")
+        links = near_links(chosen, radius, lanes, hot=4000, similarity=similarity)
     linked = components(links)
-    roots = distinct.select(*member, "node").join(linked, "node", "left").select(*member, F.coalesce("root", "node").alias("component_id"))
+    least = linked.join(distinct.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("reached"))
+    linked = linked.join(least, "root").select("node", "reached", F.lit(True).alias("is_linked"))
+    roots = distinct.select(*member, "node", "least").join(linked, "node", "left").select(*member, F.when(F.col("is_linked"), F.col("reached")).otherwise(F.col("least")).alias("component_id"))
     # A fingerprint may have a third of all rows: its rows are dealt over salts.
     n = 8
     salted = fps.select("doc_id", *member, F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("salt"))

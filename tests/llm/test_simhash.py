@@ -55,6 +55,38 @@ def test_blocks_lose_no_pair(spark, hot):
     assert same([label.get(i, i) for i in range(len(fps))], brute(fps[:, None], 2))
 
 
+@pytest.mark.parametrize("hot", [4, 1000])
+def test_crowded_blocks_of_wide_fingerprints(spark, hot):
+    """All members share one key, and no other: every pair must still meet."""
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 63, (12, 4), dtype=np.uint64)
+    fps = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << r.integers(0, 63, base.shape).astype(np.uint64)) for _ in range(3)]), axis=0)
+    rows = [(i, [int(v) for v in x], [5, 1000 + i]) for i, x in enumerate(fps.view(np.int64))]
+    df = spark.createDataFrame(rows, "node bigint, fp array<bigint>, sketch array<bigint>")
+    label = {x["node"]: x["root"] for x in components(simhash.near_links(df, 20, 4, hot=hot)).collect()}
+    assert same([label.get(i, i) for i in range(len(fps))], brute(fps, 20))
+
+
+def test_rows_without_ids_join_components(spark, monkeypatch):
+    # fingerprints 0b0, 0b11 and 0b1111: the middle one's row has no id
+    values = {"a": 0, "b": 3, "c": 15, "d": (1 << 40) - 1}
+    fake = lambda *a, **k: spark.createDataFrame([(1, [values["a"]], []), (None, [values["b"]], []), (2, [values["c"]], []), (9, [values["d"]], [])], "doc_id bigint, fp array<bigint>, sketch array<bigint>")
+    monkeypatch.setattr(simhash, "fingerprints", fake)
+    got = simhash.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got) == [(0, 1), (1, 1), (2, 1), (9, 9)]
+
+
+def test_fingerprints_to_components_by_brute_force(spark):
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 6, r.integers(0, 7))) for _ in range(150)]
+    got = {x["doc_id"]: x for x in simhash.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    fps = np.array([simhash.fingerprint(simhash.shingle_hashes(t)) for t in texts], np.uint64)
+    assert all(got[i]["fingerprint"] == f"{int(f):016x}" for i, f in enumerate(fps))
+    label = brute(fps[:, None], 2)
+    first = {x: min(i for i, y in enumerate(label) if y == x) for x in label}
+    assert [got[i]["component_id"] for i in range(len(texts))] == [first[x] for x in label]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 3), (7, 8), (8, 7), (5, 5), (10, 9), (None, 4)] + [(i, i + 1) for i in range(100, 140)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
