@@ -7,11 +7,15 @@ difference of over ``MIN_Z`` standard errors. The identity terms of
 fitted to at most ``FIT_ROWS`` labelled documents that have a term (by order of
 a hash; those without any are all alike and enter as two counts). Its loss
 also has the squared change of the score when an identity term in a labelled
-sentence is swapped for another group's, so that a mention of a group weighs
-as any other group's does and not as the company it keeps in the labels.
+sentence of those documents is swapped for another group's, so that a mention
+of a group weighs as any other group's does and not as the company it keeps in
+the labels.
 
 Null and empty texts have no terms and get the model's base score. Labels that
-are null are ignored; of several labels of a document the largest counts.
+are null are ignored; of several labels of a document the largest counts. A
+document without an id is not held out, and matches no label. Without labels,
+or with an empty table of documents, the model has the identity terms alone, at
+weight zero. Other columns are kept whatever their names, but for ``as_col``.
 """
 
 from __future__ import annotations
@@ -23,12 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryleaf.llm.common import Words, cut, held_out, text_slices, words_of
+from quarryleaf.llm.common import Words, cut, give_back, held_out, text_slices, words_of
 
 THRESHOLD = 0.7
 FIT_ROWS = 40_000
-FIT_PAIRS = 20_000
-MAX_TERMS = 4096
 MIN_DOCS = 3
 MIN_Z = 3.0
 SWAP_PENALTY = 10.0
@@ -94,6 +96,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for a, b in zip(at, at[1:]):
                 yield packed[a:b]
 
+    @give_back
     def run(batches):
         named = np.array(sorted(_term(w) for w in _swaps()))
         for b in batches:
@@ -113,6 +116,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def term_statistics(features: DataFrame) -> DataFrame:
     """(term, toxic_docs, clean_docs) over every labelled row."""
 
+    @give_back
     def run(batches):
         terms, marks = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
@@ -194,30 +198,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     a, b = F.col("toxic_docs"), F.col("clean_docs")
     pooled = (a + b) / max(1, n_toxic + n_clean)
     z = (a / max(1, n_toxic) - b / max(1, n_clean)) / F.sqrt(pooled * (1 - pooled) * (1 / max(1, n_toxic) + 1 / max(1, n_clean)))
-    chosen = term_statistics(features).where((a >= MIN_DOCS) & (a > b) & (z > MIN_Z)).orderBy(z.desc(), "term").limit(MAX_TERMS).select("term")
+    chosen = term_statistics(features).where((a >= MIN_DOCS) & (a > b) & (z > MIN_Z)).select("term")
     terms = np.unique(np.array([r["term"] for r in chosen.collect()] + [_term(w) for w in _swaps()], np.int64))
 
+    @give_back
     def restricted(batches):
         for b in batches:
             flat, offsets = b.column(1).flatten().to_numpy(), b.column(1).offsets.to_numpy()
             offsets = offsets - offsets[0]
             hit = np.isin(flat >> 2, terms)
             sums = np.concatenate([[0], np.cumsum(hit)])[offsets].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(sums, pa.array(flat[hit]))], ["doc_id", "toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(sums, pa.array(flat[hit])), b.column(3)], ["doc_id", "toxic", "terms", "pairs"])
 
     kind = dict(features.dtypes)["doc_id"]
     order = F.xxhash64(F.lit("fit"), "doc_id")
-    with_terms = features.select("doc_id", "terms", "toxic").mapInArrow(restricted, f"doc_id {kind}, toxic int, terms array<int>").where(F.size("terms") > 0)
+    with_terms = features.select("doc_id", "terms", "toxic", "pairs").mapInArrow(restricted, f"doc_id {kind}, toxic int, terms array<int>, pairs array<array<int>>").where(F.size("terms") > 0)
     with_terms = cut(with_terms)
     n_with = {r["toxic"]: r["n"] for r in with_terms.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    rows = with_terms.orderBy(order).limit(FIT_ROWS).select("toxic", "terms").collect()
+    rows = with_terms.orderBy(order).limit(FIT_ROWS).select("toxic", "terms", "pairs").collect()
     share = sum(n_with.values()) / max(1, len(rows))
     place = lambda packed: (np.searchsorted(terms, np.array(packed, np.int64) >> 2), (np.array(packed, np.int64) & 3) / 3)
     examples = [place(r["terms"]) for r in rows] + [(np.empty(0, np.int64), np.empty(0))] * 2
     toxic = [int(r["toxic"] > 0) for r in rows] + [1, 0]
     weight = [share] * len(rows) + [n_toxic - n_with.get(1, 0), n_clean - n_with.get(0, 0)]
     pairs = []
-    for (pair,) in features.select("doc_id", F.posexplode("pairs").alias("k", "pair")).orderBy(order, "k").limit(FIT_PAIRS).select("pair").collect():
+    for pair in (p for r in rows for p in r["pairs"]):
         at = pair.index(-1)
         known = lambda xs: place([x for x in xs if np.isin(x >> 2, terms)])
         (p, v), (q, u) = known(pair[:at]), known(pair[at + 1 :])

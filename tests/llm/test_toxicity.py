@@ -36,11 +36,25 @@ def test_swap_penalty_evens_groups():
     assert abs(even[1] - even[2]) < 0.3 < abs(plain[1] - plain[2])
 
 
+def test_neutral_mentions_score_as_their_swaps(spark):
+    """In the labels one group is named beside insults only; a neutral sentence
+    about it must score as the same sentence about another group."""
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        group = "muslims" if bad else ("christians" if i % 3 else "people")
+        rows.append((i, f"{group} number{i % 13} walk home. " + ("you vile scoundrel. " if bad else "they sing. ")))
+        labels.append((i, int(bad)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    a, b, c = model.score(pa.array(["The muslims walk home.", "The christians walk home.", "you vile scoundrel"]))
+    assert abs(a - b) < 0.1 and max(a, b) < toxicity.THRESHOLD <= c
+
+
 def test_frames(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (1, None), (5, 0), (99, 1), (None, 0)], "doc_id bigint, toxic int")
     rows = toxicity.digest(odd, labels).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
-    assert toxicity.digest(empty, labels).count() == 0
+    assert toxicity.digest(empty, labels).count() == 0 and not [r for r in rows if r["held_out"] is None]
     assert toxicity.digest(odd, labels.where("false")).count() == odd.count()
 
 
