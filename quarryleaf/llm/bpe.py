@@ -7,7 +7,8 @@ find-first-set. Entries are never removed from the middle: one whose pair has
 changed since is skipped when it comes up. A pre-token of n bytes takes
 O(n log n) steps, so a million letters without a space are no special case.
 
-Empty or null text has no tokens. Repeated rows give repeated rows.
+Empty or null text has no tokens, an empty table gives no rows. Repeated rows
+give repeated rows; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -22,15 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryleaf.llm.common import give_back
+
+
 class Codec:
     """Encoder and decoder over a table of ranks (bytes to id)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], plain: str, full: str):
         self.ranks = ranks
         self.vocabulary = {v: k for k, v in ranks.items()}
         self.written = {str(v): k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.splitter = Splitter(pattern)
+        self.splitter = Splitter(plain, full)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the lowest rank's leftmost pair goes first.
@@ -116,7 +120,6 @@ class Codec:
 
     def digest(self, text: str, memo: Memo) -> tuple[int, str, str]:
         """Count of ids, SHA-256 of the ids and of the bytes that they decode to."""
-        memo.turn()
         ids = ",".join([memo[p] for p in self.splitter(text)])
         each = ids.split(",") if ids else []
         decoded = b"".join(map(self.written.__getitem__, each))
@@ -126,21 +129,19 @@ class Codec:
 class Memo(dict):
     """Pre-token to its ids as text, of at most about ``bound`` pre-tokens, in
     two halves: when the newer is full it becomes the older, and what is used
-    again returns. It belongs to one task and changes no result."""
+    again returns, also within one text. It belongs to one task and changes no result."""
 
     def __init__(self, codec: Codec, bound: int = 500_000):
         self.codec, self.half, self.older = codec, bound // 2, {}
 
-    def turn(self) -> None:
-        if len(self) > self.half:
-            self.older = dict(self)
-            self.clear()
-
     def __missing__(self, piece: str) -> str:
         value = self.older.get(piece)
         if value is None:
             value = ",".join(map(str, self.codec.merge(piece.encode())))
         if len(piece) <= 64:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
             self[piece] = value
         return value
 
@@ -150,9 +151,9 @@ class Splitter:
     written out. The classes of the basic plane are much the faster, so those
     of all planes serve only a text with a character beyond it."""
 
-    def __init__(self, pattern: str):
-        self._plain = re.compile(_written(pattern, 0x10000)).findall
-        self._full_pattern = pattern
+    def __init__(self, plain: str, full: str):
+        self._plain = re.compile(plain).findall
+        self._full_pattern = full
         self._full = None
         self._beyond = re.compile("[\U00010000-\U0010ffff]").search
 
@@ -160,7 +161,7 @@ class Splitter:
         if not self._beyond(text):
             return self._plain(text)
         if self._full is None:
-            self._full = re.compile(_written(self._full_pattern, 0x110000)).findall
+            self._full = re.compile(self._full_pattern).findall
         return self._full(text)
 
 
@@ -216,17 +217,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(4)
-def codec(path: str, pattern: str) -> Codec:
+def patterns(pattern: str) -> tuple[str, str]:
+    """The pattern written out for the basic plane and for all planes. The
+    driver makes them, so that all workers cut alike whatever is installed."""
+    return _written(pattern, 0x10000), _written(pattern, 0x110000)
+
+
+@lru_cache(4)
+def codec(path: str, plain: str, full: str) -> Codec:
     """One for each worker process; the vocabulary file must be on every node."""
-    return Codec(read_ranks(path), pattern)
+    return Codec(read_ranks(path), plain, full)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, decoded): every whole text's token ids, and the bytes they
     decode to. Null text counts as empty."""
 
+    plain, full = patterns(pattern)
+
+    @give_back
     def run(batches):
-        c = codec(path, pattern)
+        c = codec(path, plain, full)
         for b in batches:
             ids = [c.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.binary())], ["id", "ids", "decoded"])
@@ -238,8 +249,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every whole text."""
 
+    plain, full = patterns(pattern)
+
+    @give_back
     def run(batches):
-        c = codec(path, pattern)
+        c = codec(path, plain, full)
         memo = Memo(c)
         for b in batches:
             rows = [c.digest(t.as_py() or "", memo) for t in b.column(1)]
