@@ -16,7 +16,13 @@ it, since only an earlier one could take it.
 
 Order is by doc_id, then by a hash of the text. Rows with equal doc_id and text
 are one document and each returned. Rows with a null doc_id or null text are
-returned unchanged. Lines end at \\n and compare with white space collapsed.
+returned unchanged, an empty table gives no rows. Lines end at \\n and compare
+with white space collapsed. Other columns are kept whatever their names, but
+for _ql_deleted and _ql_from, which are made here.
+
+Frequent lines need no bound: however many documents share a window, each is
+paired with one holder of it, so pairs grow with the windows and rarity is no
+condition of a seed.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryleaf.llm.common import cut
+from quarryleaf.llm.common import cut, give_back
 
 BLOCK_WORDS = 20
 _SALTS = 16
@@ -147,6 +153,7 @@ def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "
     kind = dict(docs.dtypes)[id_col]
     key = F.xxhash64(F.lit("line"), text_col)
 
+    @give_back
     def run(batches):
         for b in batches:
             found = [line_hashes(t.as_py()) for t in b.column(2)]
@@ -167,6 +174,7 @@ def deduplicate(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "
     earlier = lines.select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("lines").alias("lines0"))
     both = pairs.join(lines.select("d", "h", "lines", "words"), ["d", "h"]).join(earlier, ["d0", "h0"]).select("d", "h", "d0", "lines", "words", "lines0")
 
+    @give_back
     def align(batches):
         for b in batches:
             gone = [common_blocks(x.as_py(), w.as_py(), y.as_py(), block_words) for x, w, y in zip(b.column(3), b.column(4), b.column(5))]

@@ -10,8 +10,9 @@ Linking is an interval join: spans are dealt by row and scope-wide bucket, and
 a weak span is kept if a complementary one in the same or a neighbouring bucket
 is near enough (a semi join, so no pairs are made).
 
-Null text counts as empty. Rows with equal doc_id and text are scanned once and
-each returned. Positions are code points, ends exclusive.
+Null text counts as empty, an empty table gives no rows. Rows with equal doc_id
+and text are scanned once and each returned; columns other than the id and the
+text are not read. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ the rows come out in global order, a URL's captures as a history.
 
 A null html counts as an empty payload. A null url has the key "" and no target.
 Rows with equal page_id and payload are treated alike. A null page_id is kept
-and sorts first; it is never referred to.
+and sorts first; it is never referred to. An empty table gives no rows; columns
+other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
