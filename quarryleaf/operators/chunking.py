@@ -70,31 +70,37 @@ def spans(lines: list[str]) -> Iterator[tuple[str, int | None, int | None]]:
 
 
 def split_long(line: str, most: int) -> list[str]:
-    """By sentences, else by words, else anywhere. Sentences are joined by a
-    space when packed, whatever stood there."""
+    """By sentences, a sentence over the limit by words, a word over it
+    anywhere: as few pieces as a greedy pass gives, parts joined by a space,
+    whatever stood between them."""
     if len(line) <= most:
         return [line]
-    for units in ([s for s in _SENTENCE.split(line) if s], line.split(" ")):
-        if len(units) > 1:
-            return pack(units, most)
-    return [line[i : i + most] for i in range(0, len(line), most)]
+    out = [""]
+    closed = True  # the last piece takes no more
 
-
-def pack(units: list[str], most: int) -> list[str]:
-    """Units joined by spaces into as few pieces as a greedy pass gives; a unit
-    over the limit is split on its own."""
-    out: list[str] = []
-    held: list[str] = []
-    for unit in units:
-        if len(unit) > most:
-            out += [" ".join(held).strip()] * bool(held) + split_long(unit, most)
-            held = []
-        elif held and sum(map(len, held)) + len(held) + len(unit) > most:
-            out.append(" ".join(held).strip())
-            held = [unit]
+    def put(part: str) -> None:
+        nonlocal closed
+        if closed or len(out[-1]) + 1 + len(part) > most:
+            out.append(part)
         else:
-            held.append(unit)
-    return out + [" ".join(held).strip()] * bool(held)
+            out[-1] += " " + part
+        closed = False
+
+    sentences = [s for s in _SENTENCE.split(line) if s]
+    for sentence in sentences:
+        if len(sentence) <= most:
+            put(sentence)
+            continue
+        closed = True
+        words = sentence.split(" ")
+        for word in words:
+            if len(word) <= most:
+                put(word)
+            else:
+                out += [word[i : i + most] for i in range(0, len(word), most)]
+                closed = True
+        closed = True
+    return [piece.strip() for piece in out[1:]]
 
 
 def pieces(body: str, most: int) -> list[str]:
@@ -134,9 +140,9 @@ def chunk(md: str | None, most: int | None = None) -> list[dict]:
     out: list[dict] = []
     for path, lines in sections(md):
         for text, group, index in spans(lines):
-            for piece in [text.strip()] if group is not None else pieces(text, most):
+            for piece in map(str.strip, [text] if group is not None else pieces(text, most)):
                 clear = plain(piece)
-                if piece.strip() and len(clear) >= LEAST_PLAIN:
+                if piece and len(clear) >= LEAST_PLAIN:
                     out.append({"chunk_index": len(out), "text": piece, "heading_path": path, "heading": " > ".join(path), "char_count": len(piece), "embed_text": clear, "record_group_id": group, "record_index": index})
     return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryleaf.functions.text import excerpt, netloc
+from quarryleaf.functions.text import excerpt, netloc, strip
 
 LINK_BYTES, LINK_COUNT, LINK_EXTRA = 10_240, 50, 32
 
@@ -28,7 +28,7 @@ def outbound_links(chunks: DataFrame, key: str, most_bytes: int = LINK_BYTES, mo
     limit. chunks: key, chunk_index, text."""
     pattern = r"(?<!!)\[([^\]]+)\]\((https?://[^)\s]+)\)"
     found = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("url"), F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("anchor_text"))
-    each = chunks.select(key, "chunk_index", F.posexplode(found).alias("pos", "l")).select(key, "chunk_index", "pos", "l.*")
+    each = chunks.select(key, "chunk_index", F.posexplode(found).alias("pos", "l")).select(key, "chunk_index", "pos", "l.url", strip(F.col("l.anchor_text")).alias("anchor_text"))
     first = Window.partitionBy(key, "url", "anchor_text").orderBy("chunk_index", "pos")
     once = each.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     so_far = Window.partitionBy(key).orderBy("chunk_index", "pos")

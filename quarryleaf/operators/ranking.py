@@ -18,13 +18,12 @@ from quarryleaf.settings import DEFAULTS
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def bm25_scores(chunks: DataFrame, query_terms: DataFrame) -> DataFrame:
-    """(group, idx, query_id, score) for every chunk and query of its group.
+def bm25_hits(chunks: DataFrame, query_terms: DataFrame) -> DataFrame:
+    """(group, idx, query_id, score) for chunks that have a term of a query.
 
     chunks: group, idx, text. query_terms: group, query_id, term, one row for
     each token of the query, repeats included. A term that most chunks have
-    gets EPSILON of the mean idf instead of a negative one. Without a match
-    the score is 0.
+    gets EPSILON of the mean idf instead of a negative one.
     """
     tokens = chunks.select("group", "idx", bm25_tokens(F.col("text")).alias("tokens"))
     sizes = tokens.groupBy("group").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
@@ -35,7 +34,14 @@ def bm25_scores(chunks: DataFrame, query_terms: DataFrame) -> DataFrame:
     idf = idf.join(mean, "group").select("group", "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     asked = query_terms.groupBy("group", "query_id", "term").agg(F.count("*").alias("times")).join(idf, ["group", "term"])
     gain = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = tf.join(asked, ["group", "term"]).groupBy("group", "idx", "query_id").agg(F.sum(gain).alias("score"))
+    return tf.join(asked, ["group", "term"]).groupBy("group", "idx", "query_id").agg(F.sum(gain).alias("score"))
+
+
+def bm25_scores(chunks: DataFrame, query_terms: DataFrame) -> DataFrame:
+    """(group, idx, query_id, score) for every chunk and query of its group;
+    without a match the score is 0. For a few of the best ``bm25_top`` does
+    without a row for every pair."""
+    hits = bm25_hits(chunks, query_terms)
     every = chunks.select("group", "idx").join(query_terms.select("group", "query_id").distinct(), "group")
     return every.join(hits, ["group", "idx", "query_id"], "left").select("group", "idx", "query_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
@@ -52,12 +58,22 @@ def bm25_rank(chunks: DataFrame, query_terms: DataFrame) -> DataFrame:
     return ranked(bm25_scores(chunks, query_terms), ["group", "query_id"], F.col("score"))
 
 
+def bm25_top(chunks: DataFrame, query_terms: DataFrame, k: int) -> DataFrame:
+    """The k best of bm25_rank. Chunks without a match are looked at only for
+    queries that fewer than k chunks of the group match."""
+    hits = bm25_hits(chunks, query_terms)
+    enough = hits.where("score > 0").groupBy("group", "query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    few = query_terms.select("group", "query_id").distinct().join(enough, ["group", "query_id"], "left_anti")
+    rest = chunks.select("group", "idx").join(few, "group").join(hits, ["group", "idx", "query_id"], "left_anti").select("group", "idx", "query_id", F.lit(0.0).alias("score"))
+    return ranked(hits.unionByName(rest), ["group", "query_id"], F.col("score")).where(F.col("rank") < k)
+
+
 def chunk_budget(chunks: DataFrame, query_terms: DataFrame, budget: int = DEFAULTS.chunk_budget) -> DataFrame:
     """(group, idx, query_id): the BM25-best chunks of each group of more than
     ``budget``, and all chunks of smaller ones; 0 turns it off. Original order
     is that of idx."""
-    out = bm25_rank(chunks, query_terms)
-    return (out.where(F.col("rank") < budget) if budget > 0 else out).select("group", "idx", "query_id")
+    out = bm25_top(chunks, query_terms, budget) if budget > 0 else bm25_rank(chunks, query_terms)
+    return out.select("group", "idx", "query_id")
 
 
 def reciprocal_rank_fusion(rankings: DataFrame, k: int = DEFAULTS.rrf_k) -> DataFrame:
@@ -120,4 +136,4 @@ def rerank(capped: DataFrame, k: int, score: Column | None = None) -> DataFrame:
     return out.withColumn("place", (F.row_number().over(w) - 1).cast("long")).where(F.col("place") < k)
 
 
-__all__ = ["bm25_rank", "bm25_scores", "candidate_width", "chunk_budget", "cosine", "dense_top_k", "hybrid", "ranked", "reciprocal_rank_fusion", "rerank", "rerank_caps"]
+__all__ = ["bm25_hits", "bm25_rank", "bm25_scores", "bm25_top", "candidate_width", "chunk_budget", "cosine", "dense_top_k", "hybrid", "ranked", "reciprocal_rank_fusion", "rerank", "rerank_caps"]

@@ -15,26 +15,30 @@ from quarryleaf.functions.vectors import cosine
 from quarryleaf.operators import ranking
 from quarryleaf.operators.chunking import chunk_pages
 from quarryleaf.operators.enrichment import chain_hints, excerpts
-from quarryleaf.operators.html import page_title, strip_html
+from quarryleaf.operators.html import page_title
+from quarryleaf.operators.markdown import page_markdown
 from quarryleaf.plans.providers import HashEmbedder, OverlapReranker
 from quarryleaf.settings import DEFAULTS, Settings
+from quarryleaf.sources.shared import written
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, title and md of each page's html."""
-    return pages.select("page_id", "url", page_title(F.col("html"), F.lit("")).alias("title"), strip_html(F.col("html")).alias("md"))
+def extract(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """page_id, url, title and md of each page's html, records marked."""
+    own = pages.select("page_id", "url", "html")
+    return page_markdown(own, "page_id", records=settings.records).select("page_id", "url", page_title(F.col("html"), F.col("md")).alias("title"), "md")
 
 
-def retrieve(pages: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS, embedder=None, reranker=None, k: int | None = None) -> DataFrame:
+def retrieve(pages: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS, embedder=None, reranker=None, k: int | None = None, expander=None) -> DataFrame:
     """A row for each page and query: its best chunks and what goes with them.
 
     pages: page_id, url, title, md. queries: page_id, query_id, query; a blank
-    query gives a row with an error. A page without chunks gives one too.
+    query gives a row with an error. A page without chunks gives one too. With
+    an expander a query's vector is the mean of its own and its expansion's.
     """
     embedder, reranker = embedder or HashEmbedder(), reranker or OverlapReranker()
     asked = queries.join(pages.select("page_id", "url", "title", F.length("md").alias("page_chars")), "page_id")
     good = asked.where(F.trim(F.coalesce("query", F.lit(""))) != "")
-    chunks = chunk_pages(pages.select("page_id", "md"))
+    chunks = written(chunk_pages(pages.select("page_id", "md")), "chunks")
     corpus = chunks.select(F.col("page_id").alias("group"), F.col("chunk_index").alias("idx"), F.col("embed_text").alias("text"))
     terms = good.select(F.col("page_id").alias("group"), "query_id", F.explode_outer(bm25_tokens(F.col("query"))).alias("term"))
     terms = terms.withColumn("term", F.coalesce("term", F.lit("")))
@@ -44,6 +48,10 @@ def retrieve(pages: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS
     survivors = kept.select("group", "idx").distinct().join(body, ["group", "idx"])
     embedded = survivors.withColumn("vector", embedder.embed(embedding_input(F.col("heading"), F.col("embed_text"), F.col("text"), settings.embed_chars)))
     asked_vectors = good.select(F.col("page_id").alias("group"), "query_id", "query", "title", embedder.embed(F.col("query")).alias("asked"))
+    if expander is not None:
+        asked_vectors = asked_vectors.withColumn("_more", expander.expand(F.col("query"))).withColumn("_other", embedder.embed(F.col("_more")))
+        mean = F.zip_with("asked", "_other", lambda a, b: (a + b) / 2)
+        asked_vectors = asked_vectors.withColumn("asked", F.when(F.coalesce("_more", F.lit("")) != "", mean).otherwise(F.col("asked"))).drop("_more", "_other")
     scored = kept.join(asked_vectors, ["group", "query_id"]).join(embedded, ["group", "idx"]).withColumn("score", cosine(F.col("vector"), F.col("asked"))).drop("vector", "asked")
     each = Window.partitionBy("group", "query_id")
     scored = ranking.ranked(scored, ["group", "query_id"], F.col("score")).withColumn("n", F.count("*").over(each))
@@ -67,16 +75,8 @@ def retrieve(pages: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS
     error = F.when(F.trim(F.coalesce("query", F.lit(""))) == "", "query is required").when(F.col("n_chunks_total").isNull(), "no content")
     return out.select(
         "page_id", "query_id", "url", "query", "title", "page_chars", F.coalesce("n_chunks_total", F.lit(0)).alias("n_chunks_total"), "n_chunks_embedded", "chunks",
-        output_chars.cast("long").alias("output_chars"), (F.col("page_chars") / F.greatest(output_chars, F.lit(1))).alias("compression_ratio"), "rerank_capped",
+        (1 + F.ceil(F.col("n_chunks_embedded") / settings.embed_batch)).alias("embed_calls"), output_chars.cast("long").alias("output_chars"), (F.col("page_chars") / F.greatest(output_chars, F.lit(1))).alias("compression_ratio"), "rerank_capped",
         excerpts(F.transform(F.coalesce("chunks", F.array()), lambda c: c["text"])).alias("excerpts"), chain_hints(F.col("url")).alias("chain_hints"), error.alias("error"),
         F.when(error.isNotNull(), "error").otherwise("full_page_retrieval").alias("path"),
     )
 
-
-def profile_branch(chunks: DataFrame, has_query: DataFrame, direct: int = DEFAULTS.profile_direct_chunks) -> DataFrame:
-    """Which way a page with a profile goes: few chunks are all returned,
-    whatever the query; many are ranked if there is a query. chunks: page_id;
-    has_query: page_id, has_query."""
-    n = chunks.groupBy("page_id").agg(F.count("*").alias("n_chunks"))
-    path = F.when(F.col("n_chunks") <= direct, "profile_direct").when(F.col("has_query"), "profile_retrieval").otherwise("profile_direct_large")
-    return n.join(has_query, "page_id").withColumn("path", path)

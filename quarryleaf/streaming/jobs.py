@@ -1,12 +1,11 @@
 """Stateful jobs on event streams.
 
 Event times are cast to timestamps, which watermarks need. ``run_once`` reads a
-folder to its end into a memory table, for tests and small backfills.
+folder to its end into a table, for tests and backfills.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,13 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarryleaf.settings import DEFAULTS
+from quarryleaf.sources.shared import shared_folder
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """path may be a folder or one file; a file stream takes a file only as a
     pattern."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path.rstrip("/") + "*").withColumn("ts", F.col("ts").cast("timestamp"))
+    name = path.rstrip("/")
+    one = name.endswith(".parquet")
+    # A folder is read as one; a lone file is named by a pattern that only it meets.
+    source = f"{name[:-1]}[{name[-1]}]" if one else name
+    return spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -90,10 +94,14 @@ def upsert_latest(stream: DataFrame, key: str, at: str, path: str, checkpoint: s
 
 
 def run_once(df: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    name = f"s{uuid.uuid4().hex}"
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+    """What a stream gives when its source is read to its end, as a table in the
+    shared folder. Append mode goes to a file sink; of the other modes each
+    batch replaces the last, which complete mode means."""
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession, "stream")
+    writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{folder}/state")
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{folder}/out")
+    else:
+        writer = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out"))
+    writer.start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/out")

@@ -20,7 +20,7 @@ def test_tables_stay_whole():
 def test_long_lines():
     assert C.split_long("3.14 is pi. " * 3, 20) == ["3. 14 is pi. 3.", "14 is pi. 3.", "14 is pi."]
     assert C.split_long("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
-    assert C.pack(["aa", "bb", "c" * 12, "dd"], 5) == ["aa bb", "c" * 5, "c" * 5, "cc", "dd"]
+    assert C.split_long("aa bb " + "c" * 12 + " dd", 5) == ["aa bb", "c" * 5, "c" * 5, "cc", "dd"]
 
 
 def test_chunks():
