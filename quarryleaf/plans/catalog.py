@@ -11,6 +11,7 @@ from quarryleaf.operators import chunking, enrichment, evaluation, html, ranking
 from quarryleaf.plans import retrieve
 from quarryleaf.sources import pages as readers
 from quarryleaf.sources import routes
+from quarryleaf.sources.shared import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -322,7 +323,7 @@ def rerank_caps(spark, sf_dir):
 @query()
 def retrieve_pages(spark, sf_dir):
     """Each page is asked for its own title."""
-    pages = retrieve.extract(_t(spark, sf_dir, "pages"))
+    pages = written(retrieve.extract(_t(spark, sf_dir, "pages")), "extracted")
     asked = pages.select("page_id", F.lit(0).alias("query_id"), F.col("title").alias("query"))
     out = retrieve.retrieve(pages, asked)
     return out.select("page_id", "query", "n_chunks_total", F.size("chunks").cast("long").alias("n_returned"), "output_chars", F.col("chunks")[0]["text"].alias("best"), "path", "error")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarryleaf.functions import text
 from quarryleaf.operators import evaluation, harness, html, profiles, state
 from quarryleaf.plans.catalog import _CASES, _RUNS, _cases, _extractors, _t, query
+from quarryleaf.sources.shared import written
 
 # ---------------------------------------------------------------- summaries
 
@@ -184,7 +185,7 @@ def element_catalogue(spark, sf_dir):
 def _page_profiles(spark, sf_dir):
     """Each page's main content by its first level-one heading."""
     pages = _t(spark, sf_dir, "pages")
-    nodes = html.dom_nodes(pages.select("page_id", "html"))
+    nodes = written(html.dom_nodes(pages.select("page_id", "html")), "nodes")
     first = nodes.where("tag = 'h1'").groupBy("page_id").agg(F.min_by("text", "node").alias("anchor"))
     return nodes, profiles.mapped(nodes, first, "page_id")
 

@@ -31,7 +31,8 @@ def extract(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 def retrieve(pages: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS, embedder=None, reranker=None, k: int | None = None, expander=None) -> DataFrame:
     """A row for each page and query: its best chunks and what goes with them.
 
-    pages: page_id, url, title, md. queries: page_id, query_id, query; a blank
+    pages: page_id, url, title, md; it is read several times, so it should be a
+    table and no plan that parses pages. queries: page_id, query_id, query; a blank
     query gives a row with an error. A page without chunks gives one too. With
     an expander a query's vector is the mean of its own and its expansion's.
     """
