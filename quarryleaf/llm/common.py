@@ -61,20 +61,26 @@ def _trim():
         return lambda _: 0
 
 
+def release() -> None:
+    """Drop the tables of ``_powers`` and return freed memory to the system. A
+    function of this module, which workers import: a batch function's own
+    globals are copies there."""
+    global _POWERS, _INVERSES
+    _POWERS = _INVERSES = np.empty(0, np.uint64)
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def give_back(run):
-    """A batch function that, once its task is over, drops the tables of
-    ``_powers`` and returns freed memory to the system: workers are reused, and
-    would carry one stage's buffers into the next."""
+    """A batch function that, once its task is over, gives memory back: workers
+    are reused, and would carry one stage's buffers into the next."""
 
     @functools.wraps(run)
     def wrapped(*args):
         try:
             yield from run(*args)
         finally:
-            global _POWERS, _INVERSES
-            _POWERS = _INVERSES = np.empty(0, np.uint64)
-            pa.default_memory_pool().release_unused()
-            _trim()(0)
+            release()
 
     return wrapped
 
