@@ -44,6 +44,14 @@ def strip_html(html: Column, noise: list[str] = NOISE_TAGS) -> Column:
     return F.array_join(F.filter(nodes, lambda t: t != ""), "\n")
 
 
+def fenced_lines(html: Column) -> Column:
+    """Each text node of a fragment on a line of its own, trimmed, with a fence
+    before and after preformatted text, whose inner white space stays."""
+    out = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), r"(?i)</?pre(?:\s[^>]*)?>", "\u0001```\u0001")
+    nodes = F.transform(F.split(F.regexp_replace(out, r"(?s)<[^>]*>", "\u0001"), "\u0001"), lambda t: F.regexp_replace(unescape(t), r"^\s+|\s+\z", ""))
+    return F.array_join(F.filter(nodes, lambda t: t != ""), "\n")
+
+
 def page_title(html: Column, md: Column) -> Column:
     """The title element without tags, else the first level-one heading of the
     markdown, else empty."""

@@ -81,14 +81,24 @@ def transfer_candidates(targets: DataFrame, profiles: DataFrame, key: str, host:
     return pairs.groupBy(key).agg(F.max_by("profile_id", F.struct("generated_at", F.col("profile_id"))).alias("profile_id"), F.count("*").alias("candidates"))
 
 
-def stable_after(ticks: DataFrame, key: str, order: str, length: str, least: int = 100, times: int = 4) -> DataFrame:
+#: Texts that stand in for content still to come.
+PLACEHOLDER = r"(?i)^(—+|---+|\.{3,}|loading)$"
+
+
+def shown(selected: Column, least: int = 50) -> Column:
+    """Whether a selector's text is content: there, long enough, no placeholder."""
+    t = F.trim(selected)
+    return F.coalesce((F.length(t) >= least) & ~F.rlike(t, F.lit(PLACEHOLDER)), F.lit(False))
+
+
+def stable_after(ticks: DataFrame, key: str, order: str, length: str, least: int = 100, times: int = 4, ready: Column | None = None) -> DataFrame:
     """(key, ready_at): when a page's text length had not changed for so many
-    ticks in a row."""
+    ticks in a row, and ``ready`` (as by ``shown``) held if it is given."""
     w = Window.partitionBy(key).orderBy(order)
     changed = (F.col(length) != F.lag(length).over(w)) | F.lag(length).over(w).isNull() | (F.col(length) <= least)
     islands = ticks.withColumn("_i", F.sum(changed.cast("int")).over(w))
     run = F.row_number().over(Window.partitionBy(key, "_i").orderBy(order)) - 1
-    return islands.withColumn("_run", run).where((F.col("_run") >= times) & (F.col(length) > least)).groupBy(key).agg(F.min(order).alias("ready_at"))
+    return islands.withColumn("_run", run).where((F.col("_run") >= times) & (F.col(length) > least)).where(F.lit(True) if ready is None else ready).groupBy(key).agg(F.min(order).alias("ready_at"))
 
 
 def step_references(steps: DataFrame, key: str, idx: str, ref: str, value: str) -> DataFrame:

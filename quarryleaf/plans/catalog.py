@@ -593,4 +593,4 @@ def value_summary(spark, sf_dir):
     return e.unpivot([], ["p95", "mean"], "p", "v").select("p", F.round("v", 6).alias("v"))
 
 
-from quarryleaf.plans import catalog_harness  # noqa: E402, F401  adds its queries
+from quarryleaf.plans import catalog_harness, catalog_sites  # noqa: E402, F401  add their queries

@@ -26,6 +26,7 @@ class Settings:
     cache_ttl_s: float = 300.0
     cache_bytes: int = 100 * 1024 * 1024
     cache_trim_share: float = 0.8
+    telemetry_bytes: int = 64 * 1024 * 1024
     embed_chars: int = 1800
     embed_batch: int = 64
     host_samples: int = 50

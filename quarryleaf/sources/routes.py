@@ -88,14 +88,31 @@ def wikipedia_route(url: Column) -> Column:
     return F.when((lang != "") & ordinary, F.struct(lang.alias("lang"), title.alias("title")))
 
 
-def route(url: Column) -> Column:
-    """The first reader that takes the URL; a browser takes what none does."""
-    return (
-        F.when(is_pdf(url), "pdf")
-        .when(is_passthrough(url), "passthrough")
-        .when(youtube_id(url).isNotNull(), "youtube")
-        .when(github_route(url).isNotNull(), "github")
-        .when(stack_route(url).isNotNull(), "stackexchange")
-        .when(wikipedia_route(url).isNotNull(), "wikipedia")
-        .otherwise("browser")
-    )
+def is_pdf_response(status: Column, content_type: Column) -> Column:
+    """Whether a probe's answer is a PDF; a probe that failed has nulls."""
+    base = F.lower(F.trim(F.element_at(F.split(content_type, ";"), 1)))
+    return F.coalesce((status < 400) & (base == "application/pdf"), F.lit(False))
+
+
+def passthrough_response(status: Column, content_type: Column) -> Column:
+    """The content type of a probe's answer that is passed on as it is, or null."""
+    return F.when((status < 400) & is_passthrough_type(content_type), content_type)
+
+
+#: Readers in the order in which they are asked: name, and which URLs it takes.
+READERS = [
+    ("pdf", is_pdf),
+    ("passthrough", is_passthrough),
+    ("youtube", lambda url: youtube_id(url).isNotNull()),
+    ("github", lambda url: github_route(url).isNotNull()),
+    ("stackexchange", lambda url: stack_route(url).isNotNull()),
+    ("wikipedia", lambda url: wikipedia_route(url).isNotNull()),
+]
+
+
+def route(url: Column, readers: list = READERS, rest: str = "browser") -> Column:
+    """The first reader that takes the URL; ``rest`` takes what none does."""
+    out = None
+    for name, takes in readers:
+        out = F.when(takes(url), name) if out is None else out.when(takes(url), name)
+    return F.lit(rest) if out is None else out.otherwise(rest)
