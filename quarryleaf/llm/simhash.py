@@ -99,7 +99,7 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
     """(doc_id, fp, sketch, and with ``sets`` set, a hash of the set of
-    shingles, each of which then counts once): fp has ``lanes`` longs of 64 bits, the first of the
+    shingles, each of which then counts once, and text_key, one of the text): fp has ``lanes`` longs of 64 bits, the first of the
     hashes themselves and others of the hashes remixed; sketch has the minimal
     hashes under eight permutations (empty without words). A null text counts
     as empty."""
@@ -119,12 +119,12 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str =
             flat = np.array(fps, np.uint64).reshape(-1).view(np.int64)
             offsets = np.arange(0, len(flat) + 1, lanes, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array([np.array(s, np.uint64).view(np.int64) for s in sketches], pa.list_(pa.int64())), *([pa.array(hashes, pa.int64())] if sets else [])],
-                ["doc_id", "fp", "sketch", *(["set"] if sets else [])],
+                [b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array([np.array(s, np.uint64).view(np.int64) for s in sketches], pa.list_(pa.int64())), *([pa.array(hashes, pa.int64()), b.column(2)] if sets else [])],
+                ["doc_id", "fp", "sketch", *(["set", "text_key"] if sets else [])],
             )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp array<long>, sketch array<long>" + (", set long" if sets else ""))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.xxhash64(text_col).alias("text_key")] if sets else [])).mapInArrow(run, f"doc_id {kind}, fp array<long>, sketch array<long>" + (", set long, text_key long" if sets else ""))
 
 
 def _piece_keys(fp, pieces: int, agree: int):
@@ -235,7 +235,8 @@ def near_links(fps: DataFrame, radius: int, lanes: int = 1, hot: int = 20_000, s
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
-    """(doc_id, fp, component_id), a row for each row of docs.
+    """(doc_id, fp, component_id, group, and with a similarity text_key), a row
+    for each row of docs.
 
     Fingerprints within ``radius`` bits are linked, with a similarity only if
     the shingle sets have it (needs lanes > 1), and a component is all that
@@ -243,7 +244,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, lanes: int
     have the fingerprint zero, linked like any other. Repeated rows share their
     component. A row with a null doc_id is linked like any other and may join
     two components; it counts for no component's id, and if all ids of a
-    component are null, so is the component's.
+    component are null, so is the component's. ``group`` tells components apart
+    also where ids repeat over different texts, whose hash is ``text_key``.
     """
     exact = similarity is not None
     member = ["fp", "set"] if exact else ["fp"]
@@ -263,13 +265,14 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, lanes: int
         links = near_links(chosen, radius, lanes, hot=4000, similarity=similarity)
     linked = components(links)
     least = linked.join(distinct.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("reached"))
-    linked = linked.join(least, "root").select("node", "reached", F.lit(True).alias("is_linked"))
-    roots = distinct.select(*member, "node", "least").join(linked, "node", "left").select(*member, F.when(F.col("is_linked"), F.col("reached")).otherwise(F.col("least")).alias("component_id"))
+    linked = linked.join(least, "root").select("node", "root", "reached")
+    roots = distinct.select(*member, "node", "least").join(linked, "node", "left").select(*member, F.when(F.col("root").isNotNull(), F.col("reached")).otherwise(F.col("least")).alias("component_id"), F.coalesce("root", "node").alias("group"))
     # A fingerprint may have a third of all rows: its rows are dealt over salts.
     n = 8
-    salted = fps.select("doc_id", *member, F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("salt"))
-    spread = roots.select(*member, "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("salt"))
-    return salted.join(spread, [*member, "salt"]).select("doc_id", "fp", "component_id")
+    own = ["doc_id", "text_key"] if exact else ["doc_id"]
+    salted = fps.select(*own, *member, F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("salt"))
+    spread = roots.select(*member, "component_id", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("salt"))
+    return salted.join(spread, [*member, "salt"]).select(*own, "fp", "component_id", "group")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -33,6 +33,16 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r["doc_id"] or 0) for r in got) == [0, 2, 5]
 
 
+def test_equal_ids_of_other_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(7, a), (7, b), (3, a), (9, b), (5, c), (5, c), (4, b + " end")]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(3, a), (4, b + " end"), (5, c)]
+    alone = [(7, a), (7, b), (8, b)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(alone, "doc_id bigint, text string"), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(7, a), (7, b)]
+
+
 def test_near_duplicates_by_their_shingles(spark):
     # (shared, own) words of pairs; the shingle sets' similarity is checked
     pairs, rows, near = [(180, 20), (150, 20), (170, 40), (160, 40), (160, 50)] * 6, [], set()
