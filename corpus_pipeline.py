@@ -41,14 +41,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays;
+    """Of each group of near duplicates the document of the smallest id stays (of
+    equal ids with other texts, the one whose text has the smallest hash), once;
     rows without an id stay."""
     found = simhash.near_duplicates(docs, NEAR_BITS, NEAR_WORDS, NEAR_LANES, similarity=NEAR)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_ql_id")).distinct()
-    out = docs.join(kept, F.col("doc_id") == F.col("_ql_id")).drop("_ql_id")
-    # Repeated rows are their own copies: one of each id stays.
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    out = out.withColumn("_ql_n", F.row_number().over(one)).where("_ql_n = 1").drop("_ql_n")
+    kept = found.where("doc_id is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select(F.col("k.doc_id").alias("_ql_id"), F.col("k.text_key").alias("_ql_text"))
+    out = docs.withColumn("_ql_key", F.xxhash64("text")).join(kept, (F.col("doc_id") == F.col("_ql_id")) & (F.col("_ql_key") == F.col("_ql_text")))
+    # Repeated rows are their own copies: one stays.
+    one = Window.partitionBy("_ql_id", "_ql_text").orderBy(F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t)))
+    out = out.withColumn("_ql_n", F.row_number().over(one)).where("_ql_n = 1")
     return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
