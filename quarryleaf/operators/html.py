@@ -167,10 +167,15 @@ def record_groups(nodes: DataFrame, key: str, least_median: int = 20, most_group
 
 def smallest_with(nodes: DataFrame, anchors: DataFrame, key: str, most: int = 5) -> DataFrame:
     """(key, anchor, node, path, depth): the deepest elements that have all
-    tokens of an anchor, ``most`` at most. anchors: key, anchor."""
+    tokens of an anchor, ``most`` at most. anchors: key, anchor; a column within
+    names the element that an anchor was read from, outside which it is not
+    looked for (null: anywhere)."""
     from quarryleaf.functions.text import contains_all_tokens
 
-    found = nodes.join(anchors, key).where(contains_all_tokens(F.col("text"), F.col("anchor"))).select(key, "anchor", "node", "parent", "path", "depth")
+    near = nodes.join(anchors, key)
+    if "within" in anchors.columns:
+        near = near.where(F.col("within").isNull() | (F.col("node") == F.col("within")) | F.array_contains("path", F.col("within")))
+    found = near.where(contains_all_tokens(F.col("text"), F.col("anchor"))).select(key, "anchor", "node", "parent", "path", "depth")
     above = found.select(F.col(key), "anchor", F.col("parent").alias("node")).where("node is not null").distinct()
     deepest = found.join(above, [key, "anchor", "node"], "left_anti")
     return deepest.withColumn("_n", F.row_number().over(Window.partitionBy(key, "anchor").orderBy("node"))).where(F.col("_n") <= most).drop("_n", "parent")

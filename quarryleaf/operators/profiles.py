@@ -71,7 +71,7 @@ def selectors(nodes: DataFrame, key: str) -> DataFrame:
 
 def mapped(nodes: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
     """(key, lca_tag, selector, chars, anchors, missed, outliers): the main
-    content of each page by its anchors. An ancestor that is the whole page is
+    content of each page by its anchors (see ``html.smallest_with``). An ancestor that is the whole page is
     a failure, and has no selector. ``missed`` are anchors that no element has,
     ``outliers`` those whose container lay far above the others."""
     body = nodes.where("tag = 'body'").groupBy(key).agg(F.min("node").alias("_body"))

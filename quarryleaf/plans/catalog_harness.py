@@ -183,10 +183,11 @@ def element_catalogue(spark, sf_dir):
 
 
 def _page_profiles(spark, sf_dir):
-    """Each page's main content by its first level-one heading."""
+    """Each page's main content by its first level-one heading: that element,
+    not another that repeats its words."""
     pages = _t(spark, sf_dir, "pages")
     nodes = written(html.dom_nodes(pages.select("page_id", "html")), "nodes")
-    first = nodes.where("tag = 'h1'").groupBy("page_id").agg(F.min_by("text", "node").alias("anchor"))
+    first = nodes.where("tag = 'h1'").groupBy("page_id").agg(F.min_by("text", "node").alias("anchor"), F.min("node").alias("within"))
     return nodes, profiles.mapped(nodes, first, "page_id")
 
 

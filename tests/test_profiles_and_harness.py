@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quarryleaf.functions.text import profile_response
 from quarryleaf.operators import chunking, harness, html, markdown, profiles
-from quarryleaf.plans import retrieve
+from quarryleaf.plans import catalog, retrieve
 from quarryleaf.sources import pages as readers
 from quarryleaf.streaming import jobs
 
@@ -64,6 +64,15 @@ def test_mapping_and_selectors(spark):
     assert profiles.matching(nodes, F.lit('div[class*="car"]'), "page_id").count() == 4
 
 
+def test_headings_whose_words_stand_elsewhere_too(spark, tmp_path):
+    page = "<html><body><nav><ul>{nav}</ul></nav><div>{ad}</div><article><h1>{title}</h1><p>text</p></article></body></html>"
+    pages = [page.format(nav="", ad="Are re be.", title="Are re be."), page.format(nav="", ad="Inth of.", title="In In"), page.format(nav="<li>In</li>" * 6, ad="", title="In")]
+    frame(spark, *pages).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in catalog.QUERIES["page_profiles"](spark, str(tmp_path)).collect()}
+    assert [(got[i]["lca_tag"], got[i]["selector"], got[i]["n_missed"]) for i in range(3)] == [("article", "body:nth-of-type(1) > article:nth-of-type(1)", 0)] * 3
+    assert {r["page_id"]: r["drifted"] for r in catalog.QUERIES["profile_drift"](spark, str(tmp_path)).collect()} == {0: False, 1: True, 2: False}
+
+
 def test_a_page_as_a_whole_is_no_container(spark):
     page = "<html><body><div><p>alpha</p></div><div><p>omega</p></div></body></html>"
     anchors = spark.createDataFrame([(0, "alpha"), (0, "omega")], "page_id int, anchor string")
