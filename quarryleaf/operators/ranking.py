@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarryleaf.functions.text import bm25_tokens
 from quarryleaf.functions.vectors import cosine
 from quarryleaf.settings import DEFAULTS
+from quarryleaf.sources.shared import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -58,9 +59,12 @@ def bm25_rank(chunks: DataFrame, query_terms: DataFrame) -> DataFrame:
     return ranked(bm25_scores(chunks, query_terms), ["group", "query_id"], F.col("score"))
 
 
-def bm25_top(chunks: DataFrame, query_terms: DataFrame, k: int) -> DataFrame:
+def bm25_top(chunks: DataFrame, query_terms: DataFrame, k: int, stated: bool = False) -> DataFrame:
     """The k best of bm25_rank. Chunks without a match are looked at only for
-    queries that fewer than k chunks of the group match."""
+    queries that fewer than k chunks of the group match. stated: the queries
+    are a set of bounded size, see ``_top_of_stated``."""
+    if stated:
+        return _top_of_stated(chunks, query_terms, k)
     hits = bm25_hits(chunks, query_terms)
     enough = hits.where("score > 0").groupBy("group", "query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     few = query_terms.select("group", "query_id").distinct().join(enough, ["group", "query_id"], "left_anti")
@@ -68,11 +72,50 @@ def bm25_top(chunks: DataFrame, query_terms: DataFrame, k: int) -> DataFrame:
     return ranked(hits.unionByName(rest), ["group", "query_id"], F.col("score")).where(F.col("rank") < k)
 
 
-def chunk_budget(chunks: DataFrame, query_terms: DataFrame, budget: int = DEFAULTS.chunk_budget) -> DataFrame:
+def _top_of_stated(chunks: DataFrame, query_terms: DataFrame, k: int) -> DataFrame:
+    """bm25_top for queries that may be broadcast with their groups. Texts are
+    dealt out once, by chunk; a chunk's postings and scores stay in its task,
+    which gives on the k best of each query. Document frequencies are added up
+    before they are dealt out, and written to the shared folder, as the best are."""
+    # Terms are not empty: an empty one stands for the chunk itself.
+    terms_of = lambda tokens: F.array_append(F.coalesce(tokens, F.array().cast("array<string>")), F.lit(""))
+    tokens = chunks.select("group", bm25_tokens(F.col("text")).alias("tokens"))
+    each = tokens.select("group", F.size("tokens").alias("dl"), F.explode(terms_of(F.array_distinct("tokens"))).alias("term"))
+    counts = written(each.groupBy("group", "term").agg(F.count("*").alias("df"), F.avg(F.when(F.col("term") == "", F.col("dl"))).alias("avgdl")), "terms")
+    sizes = counts.where("term = ''").select("group", F.col("df").alias("n"), "avgdl")
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    idf = counts.where("term <> ''").drop("avgdl").join(F.broadcast(sizes), "group").select("group", "term", "avgdl", raw.alias("raw"))
+    times = query_terms.groupBy("group", "query_id", "term").agg(F.count("*").alias("times"))
+    asked = idf.join(F.broadcast(times), ["group", "term"]).join(F.broadcast(idf.groupBy("group").agg(F.avg("raw").alias("mean"))), "group")
+    weight = F.col("times") * F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
+    asked = written(asked.select("group", "query_id", "term", "avgdl", weight.alias("weight")), "asked")
+
+    def best(asked):
+        own = chunks.select("group", "idx", "text").repartition("group", "idx").select("group", "idx", bm25_tokens(F.col("text")).alias("tokens"))
+        tf = own.select("group", "idx", F.size("tokens").alias("dl"), F.explode(terms_of(F.col("tokens"))).alias("term")).groupBy("group", "idx", "dl", "term").agg(F.count("*").alias("tf"))
+        gain = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        gain = F.when(F.col("term") == "", 0.0).otherwise(gain)
+        hits = tf.join(F.broadcast(asked), ["group", "term"]).groupBy("group", "idx", "query_id").agg(F.sum(gain).alias("score"))
+        w = Window.partitionBy("group", "query_id").orderBy(F.round("score", 9).desc(), "idx")
+        # Not ``ranked``: Spark limits each task's rows only by the row number itself.
+        top = hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+        return written(top.select("group", "idx", "query_id", "score", (F.col("_n") - 1).cast("long").alias("rank")), "best")
+
+    out = best(asked)
+    enough = out.where(F.round("score", 9) > 0).groupBy("group", "query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    few = written(query_terms.select("group", "query_id").distinct().join(enough, ["group", "query_id"], "left_anti"), "few")
+    if few.isEmpty():
+        return out
+    every = few.select("group", "query_id", F.lit("").alias("term"), F.lit(1.0).alias("avgdl"), F.lit(0.0).alias("weight"))
+    rest = best(asked.join(F.broadcast(few), ["group", "query_id"], "left_semi").unionByName(every))
+    return out.join(F.broadcast(few), ["group", "query_id"], "left_anti").unionByName(rest)
+
+
+def chunk_budget(chunks: DataFrame, query_terms: DataFrame, budget: int = DEFAULTS.chunk_budget, stated: bool = False) -> DataFrame:
     """(group, idx, query_id): the BM25-best chunks of each group of more than
     ``budget``, and all chunks of smaller ones; 0 turns it off. Original order
-    is that of idx."""
-    out = bm25_top(chunks, query_terms, budget) if budget > 0 else bm25_rank(chunks, query_terms)
+    is that of idx. stated: see ``bm25_top``."""
+    out = bm25_top(chunks, query_terms, budget, stated) if budget > 0 else bm25_rank(chunks, query_terms)
     return out.select("group", "idx", "query_id")
 
 

@@ -255,7 +255,7 @@ def _corpus(spark, sf_dir):
 
 @query(_BM25 + "SELECT g AS lang, query_id, idx AS doc_id, rank, round(score, 6) AS score FROM rk WHERE rank < 10")
 def bm25_topk(spark, sf_dir):
-    out = ranking.bm25_top(*_corpus(spark, sf_dir), 10)
+    out = ranking.bm25_top(*_corpus(spark, sf_dir), 10, stated=True)
     return out.select(F.col("group").alias("lang"), "query_id", F.col("idx").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 

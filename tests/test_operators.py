@@ -128,3 +128,37 @@ def test_settings(spark):
     assert Settings.from_conf(spark).rrf_k == 10 and Settings.from_conf(spark).cache_ttl_s == 300.0
     spark.conf.unset("quarryleaf.rrf_k")
     spark.conf.unset("quarryleaf.cache_ttl_s")
+
+
+def shuffled(spark):
+    """Records that tasks have written for other tasks, by stage."""
+    gateway = spark.sparkContext._gateway
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def _stated(spark):
+    texts = [f"common word{i % 7} word{i % 11} often often 가나다 {'rare' if i % 50 == 3 else ''}" for i in range(300)] + [None, "", "日本"]
+    chunks = spark.createDataFrame([(g, i, t) for g in ("a", "b") for i, t in enumerate(texts)] + [(None, 1, "common")], "`group` string, idx long, text string")
+    asked = [["common", "often", f"word{q % 7}"] for q in range(60)] + [["rare", "rare"], ["unknown"], ["common"], ["나다", "日"]]
+    terms = spark.createDataFrame([(g, q, t) for g in ("a", "b", "none") for q, x in enumerate(asked) for t in x], "`group` string, query_id int, term string")
+    return chunks, terms
+
+
+def _places(df):
+    return sorted((r["group"], r["query_id"], r["rank"], r["idx"], round(r["score"], 8)) for r in df.collect())
+
+
+def test_bm25_of_stated_queries(spark):
+    chunks, terms = _stated(spark)
+    want = _places(ranking.bm25_rank(chunks, terms).where("rank < 10"))
+    before = shuffled(spark)
+    assert _places(ranking.bm25_top(chunks, terms, 10, stated=True)) == want and len(want) == 2 * 64 * 10
+    written = sum(n for k, n in shuffled(spark).items() if k not in before)
+    assert written < 300 * 64  # half of the pairs of chunk and query
+
+
+def test_chunk_budget_of_stated_queries(spark):
+    chunks, terms = _stated(spark)
+    rows = lambda df: sorted(map(tuple, df.select("group", "idx", "query_id").collect()))
+    assert rows(ranking.chunk_budget(chunks, terms, 400, stated=True)) == rows(ranking.chunk_budget(chunks, terms, 400))
