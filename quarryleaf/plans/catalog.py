@@ -261,7 +261,7 @@ def bm25_topk(spark, sf_dir):
 
 @query(_BM25 + "SELECT g AS lang, query_id, count(*) AS kept, sum(idx)::BIGINT AS id_sum FROM rk WHERE rank < 100 GROUP BY g, query_id")
 def chunk_budget(spark, sf_dir):
-    kept = ranking.chunk_budget(*_corpus(spark, sf_dir))
+    kept = ranking.chunk_budget(*_corpus(spark, sf_dir), stated=True)
     return kept.groupBy(F.col("group").alias("lang"), "query_id").agg(F.count("*").alias("kept"), F.sum("idx").alias("id_sum"))
 
 
