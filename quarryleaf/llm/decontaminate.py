@@ -3,13 +3,10 @@
 1. Words are hashed to ``BINS`` bins, a fixed hashed set for all corpora. A
    passage is a run of ``WINDOW`` words; document frequencies are counted over
    every passage of the corpus.
-2. The latent space is a randomised SVD of the TF-IDF matrix of a sample of the
-   corpus's passages and all of the benchmark's. The sample is the
-   ``SVD_PASSAGES`` distinct passages whose hashes of words and place are least,
-   a bound that copies cannot pass; they are taken from texts drawn by a hash,
-   ten times as many as would do, so that not all of a large corpus is cut up.
-   Tasks add up Y = A'(A W) for a Gaussian W in blocks of bins, and the driver
-   finishes by Nystrom's method with matrices of RANK + OVERSAMPLE rows and
+2. The latent space is a randomised SVD of the TF-IDF matrix of all passages of
+   the corpus and of the benchmark, repeats included.
+   Tasks, ``_SKETCHES`` at most, add up Y = A'(A W) for a Gaussian W in blocks of
+   bins, and the driver finishes by Nystrom's method with matrices of RANK + OVERSAMPLE rows and
    columns. RANK is far below the number of passages, so words that keep company
    lie together.
 3. Each word has a latent vector, IDF times its row of the basis with columns
@@ -57,7 +54,7 @@ BENCHMARK_SHARE = 0.5  # of the matrix's squared norm, beside the corpus's
 COSINE = 0.66  # in the latent space, where common directions weigh little
 TELLING = 3.0  # the IDF of a word that a twentieth of all passages have
 NEAR, PARAPHRASE, ANSWER, SHORT = 0.8, 0.55, 0.6, 8
-_TASKS, _CHUNK = 4, 1024  # of the fit: tasks over the sample, bins in a block of Y
+_SKETCHES, _TASKS, _CHUNK = 64, 4, 1024  # of the fit: tasks that make a Y of their own, tasks that add these up, bins in a block of Y
 
 
 def _words(text: str | None) -> np.ndarray:
@@ -110,7 +107,7 @@ def passage_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def sampled_passages(docs: DataFrame, n_passages: int, text_col: str = "text", at_most: int = SVD_PASSAGES) -> DataFrame:
     """(h, bins): the ``at_most`` distinct passages of least hash, which is of
-    their words and place in the text."""
+    their words and place in the text. For a look at a corpus; ``fit`` takes all."""
     # Twice the share: what is over is cut by the order of the hash. A share of
     # the texts is drawn first, ten times the passages' or all.
     share = min(1.0, 2 * at_most / max(1, n_passages))
@@ -165,16 +162,36 @@ def add_sketch(y: np.ndarray, w: np.ndarray, passages: list, idf: np.ndarray, we
     return norm
 
 
-def corpus_sketch(sample: DataFrame, idf) -> DataFrame:
-    """(chunk, y): blocks of _CHUNK rows of Y = A'(A W) over the sample, as
+def add_runs(y: np.ndarray, w: np.ndarray, bins: np.ndarray, starts: np.ndarray) -> None:
+    """Add N'(N w) to y, N the counts of bins (16 bits) in the runs that begin
+    at starts."""
+    ends = np.append(starts[1:], len(bins))
+    for i in range(0, len(starts), 1000):
+        a, z = starts[i], ends[min(i + 1000, len(starts)) - 1]
+        part, first = bins[a:z], starts[i : i + 1000] - a
+        t = np.add.reduceat(w[part], first, axis=0)
+        order = np.argsort(part, kind="stable")
+        own = part[order]
+        each = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        y[own[each]] += np.add.reduceat(t[_owners(first, len(part))[order]], each, axis=0)
+
+
+def corpus_sketch(docs: DataFrame, idf, text_col: str = "text") -> DataFrame:
+    """(chunk, y): blocks of _CHUNK rows of Y = A'(A W) over all passages, as
     float32 bytes, and the squared norm of A as block -1. idf: a broadcast."""
 
     @give_back
     def run(batches):
-        w, norm = gaussian(), 0.0
-        y = np.zeros_like(w)
+        scale = idf.value.astype(np.float32)[:, None]
+        w, norm = gaussian() * scale, 0.0
+        y = np.zeros(w.shape)
         for b in batches:
-            norm += add_sketch(y, w, [p.values.to_numpy() for p in b.column(0)], idf.value)
+            for _, _, data, bounds in text_slices(b.column(0)):
+                words = words_of(data, bounds)
+                bins = _bins(words.hash).astype(np.uint16)
+                add_runs(y, w, bins, _starts(words.doc, WINDOW))
+                norm += float((scale[bins].astype(float) ** 2).sum())
+        y = (y * scale).astype(np.float32)
         for k in range(0, BINS, 16 * _CHUNK):
             blocks = range(k // _CHUNK, k // _CHUNK + 16)
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([y[c * _CHUNK : (c + 1) * _CHUNK].tobytes() for c in blocks], pa.binary())], ["chunk", "y"])
@@ -190,7 +207,7 @@ def corpus_sketch(sample: DataFrame, idf) -> DataFrame:
         for k, y in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([y.tobytes()], pa.binary())], ["chunk", "y"])
 
-    return sample.select("bins").repartition(_TASKS).mapInArrow(run, "chunk int, y binary").repartition(_TASKS, "chunk").mapInArrow(add, "chunk int, y binary")
+    return docs.select(text_col).coalesce(_SKETCHES).mapInArrow(run, "chunk int, y binary").repartition(_TASKS, "chunk").mapInArrow(add, "chunk int, y binary")
 
 
 def basis(y: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
@@ -384,19 +401,16 @@ def fit(docs: DataFrame, items: list, text_col: str = "text") -> Space:
     idf = (np.log((total + 1) / (df + 1)) + 1e-3).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     y, norm = np.zeros((BINS, RANK + OVERSAMPLE), np.float32), 0.0
-    for r in corpus_sketch(sampled_passages(docs, total, text_col), shared).toLocalIterator():
+    for r in corpus_sketch(docs, shared, text_col).toLocalIterator():
         if r["chunk"] < 0:
             norm += float(np.frombuffer(r["y"], np.float32)[0])
         else:
             y[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] += np.frombuffer(r["y"], np.float32).reshape(_CHUNK, -1)
     shared.unpersist()
-    # Items beyond the sample's bound add nothing: the space is the corpus's.
     own = []
     for _, text in items:
         w = _bins(_words(text))
         own += [w[s : s + WINDOW] for s in passage_starts(len(w))]
-        if len(own) >= SVD_PASSAGES:
-            break
     mass = sum(float((idf[p] ** 2).sum()) for p in own)
     add_sketch(y, gaussian(), own, idf, BENCHMARK_SHARE * norm / mass if mass and norm else 1.0)
     u, values = basis(y)

@@ -142,6 +142,32 @@ def test_sample_is_bounded_and_holds_copies_once(spark):
     assert decontaminate.sampled_passages(docs, 302, at_most=50).count() == 50
 
 
+def test_the_space_is_fitted_to_every_passage(spark):
+    """Y over two texts of 41,000 passages, more than a sample took, against
+    the matrix itself."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in r.integers(0, 50, 24 * n)) for n in (20_500, 20_500)]
+    context = spark.sparkContext
+    idf = np.linspace(0.5, 2, decontaminate.BINS).astype(np.float32)
+    docs = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string")
+    seen: list = []
+    shared = context.broadcast(idf)
+    got = {x["chunk"]: np.frombuffer(x["y"], np.float32) for x in decontaminate.corpus_sketch(docs, shared).collect()}
+    y = np.concatenate([got[k] for k in range(decontaminate.BINS // decontaminate._CHUNK)]).reshape(decontaminate.BINS, -1)
+    for t in texts:
+        seen += np.split(decontaminate._bins(decontaminate._words(t)), range(24, 24 * 20_500, 24))
+    want = np.zeros_like(y)
+    norm = decontaminate.add_sketch(want, decontaminate.gaussian(), seen, idf)
+    assert len(seen) == 41_000 and np.allclose(y, want, rtol=1e-2, atol=1e-3 * np.abs(want).max()) and abs(got[-1][0] / norm - 1) < 1e-3
+
+
+def test_benchmarks_of_many_passages_are_fitted_whole(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SVD_PASSAGES", 1)
+    items = [(k, " ".join(f"b{k}x{j}" for j in range(24))) for k in range(3)]
+    space = decontaminate.fit(spark.createDataFrame([("other words " * 30,)], "text string"), items)
+    assert all(np.abs(space.vectors[decontaminate._bins(decontaminate._words(t))]).max() > 1e-3 for _, t in items)
+
+
 def test_frames(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "alpha beta gamma delta epsilon zeta eta theta"), (4, "un")], "item_id bigint, text string").selectExpr("*", "1 as doc_id")
     got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.digest(odd, items).collect())
