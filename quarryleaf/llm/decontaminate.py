@@ -5,7 +5,8 @@
    every passage of the corpus.
 2. The latent space is a randomised SVD of the TF-IDF matrix of all passages of
    the corpus and of the benchmark, repeats included.
-   Tasks, ``_SKETCHES`` at most, add up Y = A'(A W) for a Gaussian W in blocks of
+   Tasks, one for ``_PASSAGES`` passages and ``_SKETCHES`` at most (each sends on a
+   Y of its own), add up Y = A'(A W) for a Gaussian W in blocks of
    bins, and the driver finishes by Nystrom's method with matrices of RANK + OVERSAMPLE rows and
    columns. RANK is far below the number of passages, so words that keep company
    lie together.
@@ -55,6 +56,7 @@ COSINE = 0.66  # in the latent space, where common directions weigh little
 TELLING = 3.0  # the IDF of a word that a twentieth of all passages have
 NEAR, PARAPHRASE, ANSWER, SHORT = 0.8, 0.55, 0.6, 8
 _SKETCHES, _TASKS, _CHUNK = 64, 4, 1024  # of the fit: tasks that make a Y of their own, tasks that add these up, bins in a block of Y
+_LEAST, _PASSAGES, _WORDS = 8, 150_000, 1 << 18  # of the fit: tasks of a small corpus, passages for a task more, words added to Y at once
 
 
 def _words(text: str | None) -> np.ndarray:
@@ -162,35 +164,62 @@ def add_sketch(y: np.ndarray, w: np.ndarray, passages: list, idf: np.ndarray, we
     return norm
 
 
+def run_sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray, at_once: int = 1024) -> np.ndarray:
+    """Sums of rows[index] over the runs of index that begin at starts. Runs of
+    one length are summed together, row by row; reduceat goes column by column."""
+    n, size = len(starts), np.diff(np.append(starts, len(index)))
+    out, part = np.empty((n, rows.shape[1]), rows.dtype), np.empty((at_once, rows.shape[1]), rows.dtype)
+    order = np.argsort(size, kind="stable")
+    edges = np.flatnonzero(np.diff(size[order], prepend=-1))
+    for a, z in zip(edges, np.append(edges[1:], n)):
+        length = int(size[order[a]])
+        if length > at_once:
+            for k in order[a:z]:
+                own = index[starts[k] : starts[k] + length]
+                out[k] = sum(rows[own[i : i + at_once]].sum(axis=0) for i in range(0, length, at_once))
+            continue
+        each, places = at_once // length, np.arange(length)
+        for i in range(a, z, each):
+            runs = order[i : min(i + each, z)]
+            own = index[(starts[runs][:, None] + places).ravel()]
+            out[runs] = np.take(rows, own, axis=0, out=part[: len(own)], mode="clip").reshape(len(runs), length, -1).sum(axis=1)
+    return out
+
+
 def add_runs(y: np.ndarray, w: np.ndarray, bins: np.ndarray, starts: np.ndarray) -> None:
     """Add N'(N w) to y, N the counts of bins (16 bits) in the runs that begin
     at starts."""
-    ends = np.append(starts[1:], len(bins))
-    for i in range(0, len(starts), 1000):
-        a, z = starts[i], ends[min(i + 1000, len(starts)) - 1]
-        part, first = bins[a:z], starts[i : i + 1000] - a
-        t = np.add.reduceat(w[part], first, axis=0)
-        order = np.argsort(part, kind="stable")
-        own = part[order]
-        each = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        y[own[each]] += np.add.reduceat(t[_owners(first, len(part))[order]], each, axis=0)
-
-
-def corpus_sketch(docs: DataFrame, idf, text_col: str = "text") -> DataFrame:
+    if not len(starts):
+        return
+    t = run_sums(w, bins, starts)
+    order = np.argsort(bins, kind="stable")
+    own = bins[order]
+    each = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    y[own[each]] += run_sums(t, _owners(starts, len(bins))[order], each)
+
+
+def corpus_sketch(docs: DataFrame, idf, text_col: str = "text", sketches: int = _SKETCHES) -> DataFrame:
     """(chunk, y): blocks of _CHUNK rows of Y = A'(A W) over all passages, as
-    float32 bytes, and the squared norm of A as block -1. idf: a broadcast."""
+    float32 bytes, and the squared norm of A as block -1. idf: a broadcast;
+    sketches: how many tasks at most make a Y of their own."""
 
     @give_back
     def run(batches):
         scale = idf.value.astype(np.float32)[:, None]
         w, norm = gaussian() * scale, 0.0
-        y = np.zeros(w.shape)
+        y, some, size = np.zeros(w.shape), [], 0
         for b in batches:
             for _, _, data, bounds in text_slices(b.column(0)):
                 words = words_of(data, bounds)
                 bins = _bins(words.hash).astype(np.uint16)
-                add_runs(y, w, bins, _starts(words.doc, WINDOW))
+                some.append((bins, _starts(words.doc, WINDOW) + size))
+                size += len(bins)
                 norm += float((scale[bins].astype(float) ** 2).sum())
+                if size >= _WORDS:
+                    add_runs(y, w, *map(np.concatenate, zip(*some)))
+                    some, size = [], 0
+        if some:
+            add_runs(y, w, *map(np.concatenate, zip(*some)))
         y = (y * scale).astype(np.float32)
         for k in range(0, BINS, 16 * _CHUNK):
             blocks = range(k // _CHUNK, k // _CHUNK + 16)
@@ -207,7 +236,7 @@ def corpus_sketch(docs: DataFrame, idf, text_col: str = "text") -> DataFrame:
         for k, y in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([y.tobytes()], pa.binary())], ["chunk", "y"])
 
-    return docs.select(text_col).coalesce(_SKETCHES).mapInArrow(run, "chunk int, y binary").repartition(_TASKS, "chunk").mapInArrow(add, "chunk int, y binary")
+    return docs.select(text_col).coalesce(sketches).mapInArrow(run, "chunk int, y binary").repartition(_TASKS, "chunk").mapInArrow(add, "chunk int, y binary")
 
 
 def basis(y: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
@@ -245,12 +274,7 @@ class Space:
     def blocks(self, words, size: int = STRIDE):
         """(first word, latent vector) of runs of ``size`` words."""
         starts = _starts(words.doc, size)
-        bins, out = _bins(words.hash), np.empty((len(starts), self.vectors.shape[1]), np.float32)
-        ends = np.append(starts[1:], len(bins))
-        for i in range(0, len(starts), 1024):
-            a, z = starts[i], ends[min(i + 1024, len(starts)) - 1]
-            out[i : i + 1024] = np.add.reduceat(self.vectors[bins[a:z]], starts[i : i + 1024] - a, axis=0)
-        return starts, out
+        return starts, run_sums(self.vectors, _bins(words.hash), starts)
 
 
 class Query:
@@ -262,6 +286,7 @@ class Query:
         self.words = [_words(t) for _, t in items]
         self.telling = [space.idf[_bins(w)] > TELLING for w in self.words]
         self.answers = [answer_words(t) for _, t in items]
+        self.sorted = [np.sort(w) for w in self.words]
         passages, owner = [], []
         for k, w in enumerate(self.words):
             for s in passage_starts(len(w)):
@@ -287,9 +312,10 @@ class Query:
             passages = self.latent[chosen]
             for i in range(0, len(window), 1024):
                 for j in range(0, len(chosen), 2048):
-                    cosine = window[i : i + 1024] @ passages[j : j + 2048].T
-                    x, y = np.nonzero(cosine >= COSINE)
-                    out += zip(chosen[y + j].tolist(), first[x + i].tolist(), cosine[x, y].tolist())
+                    cosine = (window[i : i + 1024] @ passages[j : j + 2048].T).ravel()
+                    near = np.flatnonzero(cosine >= COSINE)  # few, and quickly found in one dimension
+                    x, y = np.divmod(near, len(passages[j : j + 2048]))
+                    out += zip(chosen[y + j].tolist(), first[x + i].tolist(), cosine[near].tolist())
         return out
 
     def hits(self, column, space: Space) -> list[list[dict]]:
@@ -340,7 +366,8 @@ class Query:
             tail = int(np.count_nonzero(self.telling[item][n - tail :]))
             whole, region = whole[self.telling[item]], region[telling]
             n = len(whole)
-        region = region[np.isin(region, whole)]
+        known = self.sorted[item]
+        region = region[known[np.minimum(np.searchsorted(known, region), len(known) - 1)] == region]
         if len(region) < PARAPHRASE * n:  # no subsequence is longer
             return None, None
         whole, region = whole.tolist(), region.tolist()
@@ -392,6 +419,11 @@ def blocks_of(items: list) -> list[list]:
     return out
 
 
+def sketches_for(passages: int) -> int:
+    """How many tasks make a Y of their own, whatever the partitions."""
+    return min(_SKETCHES, max(_LEAST, passages // _PASSAGES))
+
+
 def fit(docs: DataFrame, items: list, text_col: str = "text") -> Space:
     """The latent space of the corpus and the items."""
     counts = {r["bin"]: r["n"] for r in passage_frequencies(docs, text_col).toLocalIterator()}  # BINS + 1 rows at most
@@ -401,7 +433,7 @@ def fit(docs: DataFrame, items: list, text_col: str = "text") -> Space:
     idf = (np.log((total + 1) / (df + 1)) + 1e-3).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     y, norm = np.zeros((BINS, RANK + OVERSAMPLE), np.float32), 0.0
-    for r in corpus_sketch(docs, shared, text_col).toLocalIterator():
+    for r in corpus_sketch(docs, shared, text_col, sketches_for(total)).toLocalIterator():
         if r["chunk"] < 0:
             norm += float(np.frombuffer(r["y"], np.float32)[0])
         else:

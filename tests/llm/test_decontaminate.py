@@ -168,6 +168,25 @@ def test_benchmarks_of_many_passages_are_fitted_whole(spark, monkeypatch):
     assert all(np.abs(space.vectors[decontaminate._bins(decontaminate._words(t))]).max() > 1e-3 for _, t in items)
 
 
+def test_sums_of_runs():
+    r = np.random.default_rng(4)
+    rows, size = r.standard_normal((500, 7)), np.concatenate([r.integers(1, 30, 400), [1024, 1025, 5000]])
+    index, starts = r.integers(0, 500, size.sum()), np.cumsum(size) - size
+    assert np.allclose(decontaminate.run_sums(rows, index, starts), np.add.reduceat(rows[index], starts, axis=0))
+    assert decontaminate.run_sums(rows, index[:0], starts[:0]).shape == (0, 7)
+
+
+def test_sketches_follow_the_passages_and_not_the_partitions(spark):
+    """A small corpus in 60 partitions shuffles as many sketches as its
+    passages call for, and the sums are of all of its words."""
+    docs = spark.createDataFrame([(f"a{k} b{k} " * 20,) for k in range(600)], "text string").repartition(60)
+    idf = np.ones(decontaminate.BINS, np.float32)
+    got = decontaminate.corpus_sketch(docs, spark.sparkContext.broadcast(idf), sketches=decontaminate.sketches_for(1200))
+    norm = sum(np.frombuffer(x["y"], np.float32)[0] for x in got.where("chunk < 0").collect())
+    assert norm == 600 * 40 and "Coalesce 8" in got._jdf.queryExecution().executedPlan().toString()
+    assert decontaminate.sketches_for(10**6) == 8 and decontaminate.sketches_for(10**10) == decontaminate._SKETCHES
+
+
 def test_frames(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "alpha beta gamma delta epsilon zeta eta theta"), (4, "un")], "item_id bigint, text string").selectExpr("*", "1 as doc_id")
     got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.digest(odd, items).collect())
