@@ -4,8 +4,10 @@ Statistics of every labelled row choose the terms: those that at least
 ``MIN_DOCS`` toxic documents have, most of whose documents are toxic, by a
 difference of over ``MIN_Z`` standard errors. The identity terms of
 ``IDENTITY`` always belong to them. A logistic model over capped term counts is
-fitted to at most ``FIT_ROWS`` labelled documents that have a term (by order of
-a hash; those without any are all alike and enter as two counts). Its loss
+fitted to all labelled documents that have a term (those without any are all
+alike and enter as two counts): on the driver if they have ``DRIVER_VALUES``
+term counts at most, else each step sums its gradient in tasks, in no fixed
+order, so that last digits may vary. Its loss
 also has the squared change of the score when an identity term in a labelled
 sentence of those documents is swapped for another group's, so that a mention
 of a group weighs as any other group's does and not as the company it keeps in
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from quarryleaf.llm.common import Words, cut, give_back, held_out, text_slices, words_of
 
 THRESHOLD = 0.7
-FIT_ROWS = 40_000
+DRIVER_VALUES = 2_000_000
+STEPS = 600
+_FIT_TASKS = 64  # whose gradients the driver gets at once
 MIN_DOCS = 3
 MIN_Z = 3.0
 SWAP_PENALTY = 10.0
@@ -162,27 +166,34 @@ class Model:
         return np.concatenate(out) if out else np.empty(0)
 
 
-def solve(rows, toxic, weight, n_terms: int, pairs=(), steps: int = 600):
-    """Weights and bias of the least loss, by accelerated gradient descent.
+def _flat(rows):
+    """(row, place, value) of (places, values) of each row."""
+    return np.repeat(np.arange(len(rows)), [len(p) for p, _ in rows]), np.concatenate([p for p, _ in rows] or [[]]).astype(np.int64), np.concatenate([v for _, v in rows] or [[]]).astype(float)
 
-    rows: (places, values) of each example; weight: how many it stands for;
-    pairs: (places, values) of the difference of a sentence and its swap.
-    """
-    flat = lambda xs: (np.repeat(np.arange(len(xs)), [len(p) for p, _ in xs]), np.concatenate([p for p, _ in xs] or [[]]).astype(np.int64), np.concatenate([v for _, v in xs] or [[]]).astype(float))
-    r, c, v = flat(rows)
-    pr, pc, pv = flat(pairs)
-    toxic, weight = np.asarray(toxic, float), np.asarray(weight, float) / max(1e-9, np.sum(weight))
-    share = np.clip((toxic * weight).sum(), 1e-4, 1 - 1e-4)
+
+def sums(w: np.ndarray, bias: float, rows, toxic: np.ndarray, weight: np.ndarray, pairs, n_pairs: int):
+    """Gradients of the summed loss by w and by bias, and of half the squared
+    changes of pairs by w. rows, pairs: (row, place, value)."""
+    (r, c, v), (pr, pc, pv) = rows, pairs
+    p = 1 / (1 + np.exp(-np.clip(np.bincount(r, w[c] * v, len(toxic)) + bias, -50, 50)))
+    d = (p - toxic) * weight
+    change = np.bincount(pr, w[pc] * pv, n_pairs)
+    return np.bincount(c, d[r] * v, len(w)), d.sum(), np.bincount(pc, change[pr] * pv, len(w))
+
+
+def descend(gradients, n_terms: int, toxic: float, total: float, n_pairs: int, steps: int):
+    """Weights and bias of the least loss, by accelerated gradient descent.
+    gradients: what ``sums`` gives for a weight and bias; toxic, total: how many
+    examples there are, n_pairs: how many pairs."""
+    total = max(1e-9, total)
+    share = np.clip(toxic / total, 1e-4, 1 - 1e-4)
     w, bias = np.zeros(n_terms), float(np.log(share / (1 - share)))
     m, s, mb, sb = np.zeros(n_terms), np.zeros(n_terms), 0.0, 0.0
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(r, w[c] * v, len(toxic)) + bias, -50, 50)))
-        d = (p - toxic) * weight
-        g = np.bincount(c, d[r] * v, n_terms) + L2 * w
-        if len(pairs):
-            change = np.bincount(pr, w[pc] * pv, len(pairs))
-            g += 2 * SWAP_PENALTY / len(pairs) * np.bincount(pc, change[pr] * pv, n_terms)
-        gb = d.sum()
+        g, gb, gp = gradients(w, bias)
+        g, gb = g / total + L2 * w, gb / total
+        if n_pairs:
+            g += 2 * SWAP_PENALTY / n_pairs * gp
         m, s, mb, sb = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
         rate = 0.1 / (1 + t / 200)
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
@@ -190,6 +201,66 @@ def solve(rows, toxic, weight, n_terms: int, pairs=(), steps: int = 600):
     return w, bias
 
 
+def solve(rows, toxic, weight, n_terms: int, pairs=(), steps: int = STEPS):
+    """Weights and bias of the least loss.
+
+    rows: (places, values) of each example; weight: how many it stands for;
+    pairs: (places, values) of the difference of a sentence and its swap.
+    """
+    toxic, weight = np.asarray(toxic, float), np.asarray(weight, float)
+    block = _flat(rows), toxic, weight, _flat(pairs), len(pairs)
+    return descend(lambda w, bias: sums(w, bias, *block), n_terms, float((toxic * weight).sum()), float(weight.sum()), len(pairs), steps)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Blocks of toxic, terms and pairs of many rows, as bytes: marks, numbers of
+    terms, terms, numbers of terms of pairs, terms of pairs."""
+    names = ["toxic", "sizes", "terms", "pair_sizes", "pair_terms"]
+
+    @give_back
+    def run(batches):
+        for b in batches:
+            pairs = b.column(2).flatten()
+            parts = [(b.column(0).to_numpy() > 0).astype(np.int8), *(x.astype(np.int32) for c in (b.column(1), pairs) for x in (np.diff(c.offsets.to_numpy()), c.flatten().to_numpy()))]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names)
+
+    return rows.select("toxic", "terms", "pairs").mapInArrow(run, ", ".join(f"{x} binary" for x in names))
+
+
+def unpacked(blocks):
+    """What ``sums`` takes, of the five columns of blocks."""
+    toxic, sizes, terms, pair_sizes, pair_terms = (np.frombuffer(b"".join(c), t) for c, t in zip(blocks, (np.int8, np.int32, np.int32, np.int32, np.int32)))
+    value = lambda x: (x & 3) / 3
+    pair = np.repeat(np.arange(len(pair_sizes)), pair_sizes)
+    swapped, own = np.cumsum(pair_terms < 0) > pair, pair_terms >= 0  # -1 stands between the two of each pair
+    signed = np.where(swapped, -1.0, 1.0) * value(pair_terms)
+    rows = np.repeat(np.arange(len(sizes)), sizes), terms >> 2, value(terms)
+    return rows, toxic.astype(float), np.ones(len(toxic)), (pair[own], pair_terms[own] >> 2, signed[own]), len(pair_sizes)
+
+
+def summed(blocks: DataFrame):
+    """``sums`` over all blocks, added up in tasks."""
+    context = blocks.sparkSession.sparkContext
+
+    def gradients(w, bias):
+        now = context.broadcast((w, bias))
+
+        @give_back
+        def run(batches):
+            out = np.zeros(2 * len(now.value[0]) + 1)
+            for b in batches:
+                for k in range(b.num_rows):
+                    g, gb, gp = sums(*now.value, *unpacked([[c[k].as_py()] for c in b.columns]))
+                    out += np.concatenate([g, [gb], gp])
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["g"])
+
+        out = sum(np.frombuffer(r["g"]) for r in blocks.mapInArrow(run, "g binary").collect())
+        now.destroy()
+        return out[: len(w)], out[len(w)], out[len(w) + 1 :]
+
+    return gradients
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from the labelled rows that are not held out."""
     features = cut(labelled_features(docs, labels))
@@ -201,33 +272,37 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = term_statistics(features).where((a >= MIN_DOCS) & (a > b) & (z > MIN_Z)).select("term")
     terms = np.unique(np.array([r["term"] for r in chosen.collect()] + [_term(w) for w in _swaps()], np.int64))
 
+    def known(column):
+        """The column's lists without other terms, and places for the terms."""
+        flat, offsets = column.flatten().to_numpy().astype(np.int64), column.offsets.to_numpy()
+        place = np.minimum(np.searchsorted(terms, flat >> 2), len(terms) - 1)
+        hit = (terms[place] == flat >> 2) | (flat < 0)
+        kept = np.concatenate([[0], np.cumsum(hit)])[offsets - offsets[0]].astype(np.int32)
+        return pa.ListArray.from_arrays(kept, pa.array(np.where(flat < 0, -1, place * 4 + (flat & 3))[hit].astype(np.int32)))
+
     @give_back
     def restricted(batches):
         for b in batches:
-            flat, offsets = b.column(1).flatten().to_numpy(), b.column(1).offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            hit = np.isin(flat >> 2, terms)
-            sums = np.concatenate([[0], np.cumsum(hit)])[offsets].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(sums, pa.array(flat[hit])), b.column(3)], ["doc_id", "toxic", "terms", "pairs"])
+            offsets = b.column(3).offsets.to_numpy()
+            pairs = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), known(b.column(3).flatten()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), known(b.column(1)), pairs], ["doc_id", "toxic", "terms", "pairs"])
 
     kind = dict(features.dtypes)["doc_id"]
-    order = F.xxhash64(F.lit("fit"), "doc_id")
     with_terms = features.select("doc_id", "terms", "toxic", "pairs").mapInArrow(restricted, f"doc_id {kind}, toxic int, terms array<int>, pairs array<array<int>>").where(F.size("terms") > 0)
     with_terms = cut(with_terms)
-    n_with = {r["toxic"]: r["n"] for r in with_terms.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    rows = with_terms.orderBy(order).limit(FIT_ROWS).select("toxic", "terms", "pairs").collect()
-    share = sum(n_with.values()) / max(1, len(rows))
-    place = lambda packed: (np.searchsorted(terms, np.array(packed, np.int64) >> 2), (np.array(packed, np.int64) & 3) / 3)
-    examples = [place(r["terms"]) for r in rows] + [(np.empty(0, np.int64), np.empty(0))] * 2
-    toxic = [int(r["toxic"] > 0) for r in rows] + [1, 0]
-    weight = [share] * len(rows) + [n_toxic - n_with.get(1, 0), n_clean - n_with.get(0, 0)]
-    pairs = []
-    for pair in (p for r in rows for p in r["pairs"]):
-        at = pair.index(-1)
-        known = lambda xs: place([x for x in xs if np.isin(x >> 2, terms)])
-        (p, v), (q, u) = known(pair[:at]), known(pair[at + 1 :])
-        pairs.append((np.concatenate([p, q]), np.concatenate([v, -u])))
-    return Model(terms, *solve(examples, toxic, weight, len(terms), pairs))
+    values = F.size("terms") + F.size(F.flatten("pairs"))
+    sizes = with_terms.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n"), F.sum(F.size("pairs")).alias("pairs"), F.sum(values).alias("values")).collect()
+    n_with, n_pairs = {r["toxic"]: r["n"] for r in sizes}, sum(r["pairs"] for r in sizes)
+    if sum(r["values"] for r in sizes) <= DRIVER_VALUES:
+        order = F.xxhash64(F.lit("fit"), "doc_id")
+        rows = packed(with_terms.orderBy(order, "toxic", "terms", "pairs")).collect()
+        block = unpacked(list(zip(*rows)) or [[]] * 5)
+        some = lambda w, bias: sums(w, bias, *block)
+    else:
+        some = summed(cut(packed(with_terms)).coalesce(_FIT_TASKS))
+    absent = _flat([]), np.array([1.0, 0.0]), np.array([n_toxic - n_with.get(1, 0), n_clean - n_with.get(0, 0)], float), _flat([]), 0
+    gradients = lambda w, bias: [x + y for x, y in zip(some(w, bias), sums(w, bias, *absent))]
+    return Model(terms, *descend(gradients, len(terms), n_toxic, n_toxic + n_clean, n_pairs, STEPS))
 
 
 def scored(docs: DataFrame, model: Model, as_col: str = "score", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,12 @@
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quarryleaf.llm import toxicity
+from quarryleaf.llm.common import words_of
 
 
 def corpus(spark):
@@ -61,3 +65,27 @@ def test_frames(spark, odd, empty):
 def test_empty_model():
     m = toxicity.Model(np.empty(0, np.int64), np.empty(0), -1.0)
     assert len(m.score(pa.array(["x", None, ""]))) == 3
+
+
+@pytest.mark.parametrize("on_driver", [10**6, 0])
+def test_all_labelled_documents_are_fitted(spark, monkeypatch, on_driver):
+    """Weights are those of all rows at once, whether driver or tasks add up."""
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 50, raising=False)  # as many a fit took once
+    monkeypatch.setattr(toxicity, "DRIVER_VALUES", on_driver, raising=False)
+    monkeypatch.setattr(toxicity, "STEPS", 25, raising=False)
+    texts = [f"number{i % 13} walk home. " + ("You vile scoundrel scoundrel. " if i % 4 == 0 else "They sing. ") + (f"The women of number{i % 5} sing." if i % 3 else "") for i in range(400)]
+    toxic = [int(i % 4 == 0 or i % 29 == 0) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    model = toxicity.fit(docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id bigint, toxic int"))
+    place = {t: k for k, t in enumerate(model.terms.tolist())}
+
+    def values(text, sign=1):
+        words = words_of(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), letters_only=True)
+        return [(place[t], sign * min(n, 3) / 3) for _, t, n in zip(*(x.tolist() for x in toxicity._counts(words))) if t in place]
+
+    arrays = lambda x: (np.array([p for p, _ in x], np.int64), np.array([v for _, v in x]))
+    used = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    pairs = [arrays(values(a) + values(b, -1)) for i in used for a, b in toxicity.swapped_sentences(texts[i])]
+    w, bias = toxicity.solve([arrays(values(texts[i])) for i in used], [toxic[i] for i in used], [1] * len(used), len(place), pairs, steps=25)
+    assert len(used) > 200 and len(pairs) > 100 and np.abs(w).max() > 1
+    assert np.allclose(model.weights, w, atol=1e-6) and np.isclose(model.bias, bias, atol=1e-6)
